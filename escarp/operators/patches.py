@@ -87,15 +87,14 @@ def scale_pixels(grid: Column, divisor: float = 256.0) -> Column:
 
 def stack_bands(bands: Sequence[Column]) -> Column:
     """Band grids to one grid of pixel vectors (channel first to channel last)."""
-    size = F.size(bands[0])
-    index = F.sequence(F.lit(0), size - 1)
-    width = F.sequence(F.lit(0), F.size(F.get(bands[0], F.lit(0))) - 1)
-    return F.transform(
-        index,
-        lambda i: F.transform(
-            width, lambda j: F.array(*[F.get(F.get(b, i), j) for b in bands])
-        ),
-    )
+    stacked = F.transform(bands[0], lambda row: F.transform(row, lambda v: F.array(v)))
+    for band in bands[1:]:
+        stacked = F.zip_with(
+            stacked,
+            band,
+            lambda pixels, row: F.zip_with(pixels, row, lambda p, v: F.concat(p, F.array(v))),
+        )
+    return stacked
 
 
 def grid_sum(grid: Column) -> Column:

@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from escarp.plans import proximity_queries, tree_queries  # noqa: F401
+from escarp.plans import (  # noqa: F401
+    patch_queries,
+    proximity_queries,
+    raster_queries,
+    scene_queries,
+    tree_queries,
+)

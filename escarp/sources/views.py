@@ -14,7 +14,7 @@ from escarp.operators.zonal import Georeference
 GRID = Georeference(west=-125.0, south=31.0, step=0.0001)
 GRID_COLUMNS = 100
 VIEW_TILE_CELLS = 25
-CELL_M = 600
+CELL_M = 700
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
