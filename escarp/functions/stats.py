@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 N_BINS = 4096
+BIN_ROWS = 4096
 PRIME = 2147483647
 
 
@@ -25,16 +26,14 @@ def mix(seed: Column | int, *parts: Column) -> Column:
     h = F.pmod(seed if isinstance(seed, Column) else F.lit(seed).cast("bigint"), F.lit(PRIME))
     for part in parts:
         h = (h * 48271 + F.pmod(part.cast("bigint"), F.lit(PRIME)) + 11) % PRIME
-        h = ((h * h) % PRIME * 16807 + h * 69621 + 7) % PRIME
-    return h.cast("bigint")
+    # the fifth power is a permutation modulo this prime; scrambling once keeps the tree small
+    square = (h * h) % PRIME
+    return ((square * square) % PRIME * h % PRIME).cast("bigint")
 
 
-def _bin_of(key: Column, low: Column, high: Column, n_bins: int) -> Column:
+def _bin_of(key: Column, low: Column, high: Column, n_bins: Column) -> Column:
     share = F.try_divide(key.cast("double") - low, high - low)
-    return F.least(
-        F.coalesce(F.floor(share * n_bins), F.lit(0).cast("bigint")),
-        F.lit(n_bins - 1).cast("bigint"),
-    )
+    return F.least(F.coalesce(F.floor(share * n_bins), F.lit(0).cast("bigint")), n_bins - 1)
 
 
 def _running(groups: Sequence[str], weight: str) -> Column:
@@ -56,9 +55,10 @@ def with_ordinal(
     `key` is numeric and spread out (an id or a hash); give `key_range` when its range is known.
     """
     groups = list(groups)
+    bins = F.lit(n_bins).cast("bigint")
     if key_range is not None:
         low, high = (F.lit(float(v)) for v in key_range)
-        binned = df.withColumn("_bin", _bin_of(F.col(key), low, high, n_bins))
+        binned = df.withColumn("_bin", _bin_of(F.col(key), low, high, bins))
     else:
         stats = df.groupBy(*groups).agg(
             F.min(key).cast("double").alias("_low"), F.max(key).cast("double").alias("_high")
@@ -66,7 +66,7 @@ def with_ordinal(
         # without groups the range is one row
         ranged = df.join(stats, groups) if groups else df.join(F.broadcast(stats))
         binned = ranged.withColumn(
-            "_bin", _bin_of(F.col(key), F.col("_low"), F.col("_high"), n_bins)
+            "_bin", _bin_of(F.col(key), F.col("_low"), F.col("_high"), bins)
         ).drop("_low", "_high")
     offsets = (
         binned.groupBy(*groups, "_bin")
@@ -132,16 +132,22 @@ def percentiles(
     """Exact interpolated percentiles as rows (groups, percent, value); NULL and NaN skipped."""
     groups = list(groups)
     number = F.col(value).cast("double")
+    # NULL groups would fall out of the joins below; out here, all uses of `counted` are one plan
+    usable = number.isNotNull() & ~F.isnan(number)
+    for group in groups:
+        usable &= F.col(group).isNotNull()
     counted = (
-        df.filter(number.isNotNull() & ~F.isnan(number))
+        df.filter(usable)
         .groupBy(*groups, number.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     stats = counted.groupBy(*groups).agg(
         F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_w").alias("_total")
     )
+    # as many bins as the group needs: small groups have one
+    bins = F.least(F.ceil(F.col("_total") / BIN_ROWS), F.lit(n_bins).cast("bigint"))
     binned = counted.join(stats, groups).withColumn(
-        "_bin", _bin_of(F.col("_v"), F.col("_low"), F.col("_high"), n_bins)
+        "_bin", _bin_of(F.col("_v"), F.col("_low"), F.col("_high"), bins)
     )
     bins = (
         binned.groupBy(*groups, "_bin", "_total")

@@ -101,7 +101,7 @@ def oversample(
 
 
 def _population(train: DataFrame, target: str) -> tuple[int, float]:
-    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(target).alias("s")).first()
+    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
     return row["n"], row["s"] or 1.0
 
 
@@ -220,7 +220,7 @@ def knn_predict(
 
     def search(query: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if query.empty or base.empty:
-            return pd.DataFrame({"_id": [], "d": [], "y": []})
+            return pd.DataFrame({"_id": query[identity][:0], "d": [], "y": []}, dtype=object)
         base = base.sort_values("y")
         x_train = np.stack(base["x"].to_numpy())
         y_train = base["y"].to_numpy()

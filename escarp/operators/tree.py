@@ -116,11 +116,12 @@ def flatten_nested(roots: DataFrame, on_bad: str = "fail") -> DataFrame:
     while True:
         spread = frontier.repartition(F.xxhash64("path"))
         level = materialize(_with_key(fields(spread), on_bad), f"{scratch}/depth{depth}")
-        if level.isEmpty():
-            return rows
         rows = rows.unionByName(_tree_rows(level))
+        parents = level.filter(F.size("children") > 0)
+        if parents.isEmpty():
+            return rows
         child = F.posexplode("children").alias("pos", "node")
-        frontier = level.select(
+        frontier = parents.select(
             "path", F.col("key_lat").alias("up_lat"), F.col("key_lon").alias("up_lon"), child
         ).select(
             F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"),
@@ -151,10 +152,11 @@ def flatten_adjacency(nodes: DataFrame, on_bad: str = "fail") -> DataFrame:
             "path", F.concat("up_path", F.array(F.col("ordinal").cast("bigint")))
         )
         level = materialize(_with_key(joined.drop("up_path"), on_bad), f"{scratch}/depth{depth}")
-        if level.isEmpty():
-            return rows
         rows = rows.unionByName(_tree_rows(level))
-        parents = level.filter(F.col("types").isNull()).select(
+        areas = level.filter(F.col("types").isNull())
+        if areas.isEmpty():
+            return rows
+        parents = areas.select(
             F.col("node_id").alias("parent_id"),
             F.col("path").alias("up_path"),
             F.col("key_lat").alias("up_lat"),

@@ -38,5 +38,5 @@ def mix_sql(seed: str, *parts: str) -> str:
     h = f"(CAST({seed} AS BIGINT) % 2147483647)"
     for part in parts:
         h = f"(({h} * 48271 + CAST({part} AS BIGINT) % 2147483647 + 11) % 2147483647)"
-        h = f"((({h} * {h}) % 2147483647 * 16807 + {h} * 69621 + 7) % 2147483647)"
-    return h
+    square = f"({h} * {h} % 2147483647)"
+    return f"({square} * {square} % 2147483647 * {h} % 2147483647)"

@@ -80,11 +80,17 @@ def write_shards(
     ties: Sequence[str],
     n_shards: int,
     columns: Sequence[str] | None = None,
+    rows_per_file: int = 1_000_000,
 ) -> None:
-    """One folder per shard, with only the chosen columns."""
+    """One folder per shard, with only the chosen columns.
+
+    A shard is written in runs of at most `rows_per_file` rows, so a task never holds more than
+    a few files however large a shard is.
+    """
     placed = with_shard(rows, key, ties, n_shards)
-    kept = placed.select("shard", *(columns or rows.columns))
-    kept.repartition("shard").write.partitionBy("shard").parquet(path)
+    run = F.floor(F.col("ordinal") / rows_per_file)
+    kept = placed.repartition("shard", run).select("shard", *(columns or rows.columns))
+    kept.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
