@@ -23,6 +23,18 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return _arc(lat2 - lat1, lon2 - lon1, F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)))
 
 
+def unit_vector(lat: Column, lon: Column) -> list[Column]:
+    """Point on the unit sphere; chords between such points need no trigonometry."""
+    flat = F.cos(F.radians(lat))
+    return [flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def max_chord_squared(radius_m: float) -> float:
+    """Squared chord of an arc, a hair too long: for filters before the exact distance."""
+    half = min(radius_m / (2 * EARTH_RADIUS_M), math.pi / 2)
+    return (2 * math.sin(half) * (1 + 1e-9) + 1e-12) ** 2
+
+
 def box_distance_bounds(
     lat: Column, lon: Column, south: Column, north: Column, west: Column, east: Column
 ) -> tuple[Column, Column]:

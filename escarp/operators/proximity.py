@@ -12,12 +12,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from escarp.functions.geo import CellGrid, box_distance_bounds, haversine_m
+from escarp.functions.geo import (
+    CellGrid,
+    box_distance_bounds,
+    haversine_m,
+    max_chord_squared,
+    unit_vector,
+)
 from escarp.session import materialize, scratch_dir
 
-CELL_POINTS = 512  # a cell with more distinct points than this is opened level by level
+# With more distinct points than this in some cell, cells are opened level by level, down to
+# cells of so many points. A nearest search gains sooner: it drops most cells unopened. A sum has
+# to look along the whole circle, which pays only where cells are far more crowded.
+AGGREGATE_CELL_POINTS, AGGREGATE_LEAF_POINTS = 16384, 1024
+NEAREST_CELL_POINTS, NEAREST_LEAF_POINTS = 256, 24
 
 # name -> ("sum" | "max" | "min", column expression); a count is the sum of 1
 Aggregates = Mapping[str, tuple[str, Column]]
@@ -65,14 +76,25 @@ def _with_ring(left: DataFrame, grid: CellGrid) -> DataFrame:
 
 
 def _meet(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
-    """Points of one cell: left rows carry the cell key, right rows are points."""
+    """Points of one cell: left rows carry the cell key, right rows are points.
+
+    Most pairs fail the chord test, a few multiplications on vectors made once per point.
+    """
+    here = unit_vector(F.col("l_lat"), F.col("l_lon"))
+    there = unit_vector(F.col("lat"), F.col("lon"))
+    left = left.select("l_lat", "l_lon", "_cy", "_cx").withColumns(
+        {f"_l{i}": c for i, c in enumerate(here)}
+    )
+    right = right.drop("_fy", "_fx").withColumns({f"_r{i}": c for i, c in enumerate(there)})
+    gaps = [F.col(f"_l{i}") - F.col(f"_r{i}") for i in range(3)]
+    chord = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
     distance = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon"))
     return (
-        left.select("l_lat", "l_lon", "_cy", "_cx")
-        .join(right.drop("_fy", "_fx"), ["_cy", "_cx"])
+        left.join(right, ["_cy", "_cx"])
+        .filter(chord <= max_chord_squared(radius_m))
         .withColumn("distance_m", distance)
         .filter(F.col("distance_m") <= radius_m)
-        .drop("_cy", "_cx")
+        .drop("_cy", "_cx", *[f"_{side}{i}" for side in "lr" for i in range(3)])
     )
 
 
@@ -92,6 +114,7 @@ def _matches(
     widest = float(max(radii_m))
     grid = CellGrid(widest)
     names = list(aggs)
+    leaf_points = NEAREST_LEAF_POINTS if nearest else AGGREGATE_LEAF_POINTS
     ringed = _with_ring(left, grid)
     points = _keyed(right, grid)
     crowded = points.groupBy(*_cell(grid, 0)).count().filter(F.col("count") > cell_points)
@@ -113,20 +136,22 @@ def _matches(
             .filter(F.col("_low") <= widest)
         )
         if nearest:
-            best = pairs.groupBy("l_lat", "l_lon").agg(F.min("_high").alias("_best"))
-            pairs = (
-                pairs.join(best, ["l_lat", "l_lon"])
-                # a hair of slack: bounds and true distances are rounded separately
-                .filter(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-6)
-                .drop("_best")
-            )
+            # a hair of slack: bounds and true distances are rounded separately
+            best = F.min("_high").over(W.partitionBy("l_lat", "l_lon"))
+            pairs = pairs.withColumn("_best", best * (1 + 1e-9) + 1e-6)
+            pairs = pairs.filter(F.col("_low") <= F.col("_best")).drop("_best")
+            whole = F.lit(False)
         else:
             whole = F.lit(True)
             for radius in radii_m:
                 slack = 1e-6
                 whole &= (F.col("_high") <= radius - slack) | (F.col("_low") > radius + slack)
+        small = F.lit(level == grid.FINEST) | (F.col("_n") <= min(leaf_points, cell_points))
+        pairs = pairs.withColumns({"_whole": whole, "_small": small})
+        pairs = materialize(pairs, f"{scratch}/level{level}")
+        if not nearest:
             found.append(
-                pairs.filter(whole).select(
+                pairs.filter("_whole").select(
                     "l_lat",
                     "l_lon",
                     F.lit(None).cast("double").alias("lat"),
@@ -135,25 +160,19 @@ def _matches(
                     *names,
                 )
             )
-            pairs = pairs.filter(~whole)
-        last = level == grid.FINEST
-        small = F.lit(True) if last else F.col("_n") <= cell_points
         leaves = points.withColumns(dict(zip(["_cy", "_cx"], _cell(grid, level))))
         found.append(
-            _meet(pairs.filter(small), leaves, widest).select(
+            _meet(pairs.filter("_small and not _whole"), leaves, widest).select(
                 "l_lat", "l_lon", "lat", "lon", "distance_m", *names
             )
         )
-        if last or nodes.filter(F.col("_n") > cell_points).isEmpty():
+        cut = pairs.filter("not _small and not _whole").select("l_lat", "l_lon", "_cy", "_cx")
+        if cut.isEmpty():
             break
         children = F.array(*[F.lit(i) for i in range(4)])
-        frontier = (
-            pairs.filter(~small)
-            .select("l_lat", "l_lon", "_cy", "_cx")
-            .withColumn("_cy", F.explode(F.transform(children, lambda i: F.col("_cy") * 4 + i)))
-            .withColumn("_cx", F.explode(F.transform(children, lambda i: F.col("_cx") * 4 + i)))
-        )
-        frontier = materialize(frontier, f"{scratch}/level{level}")
+        frontier = cut.withColumn(
+            "_cy", F.explode(F.transform(children, lambda i: F.col("_cy") * 4 + i))
+        ).withColumn("_cx", F.explode(F.transform(children, lambda i: F.col("_cx") * 4 + i)))
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
@@ -167,7 +186,7 @@ def nearest_within(
     radius_m: float,
     out_id: str = "nearest_id",
     out_distance: str = "distance_m",
-    cell_points: int = CELL_POINTS,
+    cell_points: int = NEAREST_CELL_POINTS,
 ) -> DataFrame:
     """Each left row with the closest right row within the radius; unmatched rows are dropped.
 
@@ -193,7 +212,7 @@ def aggregate_within(
     right: DataFrame,
     radii: Mapping[str, float],
     aggs: Aggregates,
-    cell_points: int = CELL_POINTS,
+    cell_points: int = AGGREGATE_CELL_POINTS,
 ) -> DataFrame:
     """Left outer: aggregates of the right rows around each left row, one pass for all radii.
 

@@ -52,7 +52,7 @@ def scene(name):
 SCENES = ["spread", "crowded", "north", "date_line", "pole", "equator"]
 
 
-@pytest.mark.parametrize("cell_points", [3, 512])
+@pytest.mark.parametrize("cell_points", [3, 4096])
 @pytest.mark.parametrize("name", SCENES)
 def test_nearest(spark, name, cell_points):
     left, right = scene(name)
@@ -70,7 +70,7 @@ def test_nearest(spark, name, cell_points):
         assert got[i] == pytest.approx(want[i], abs=1e-3)
 
 
-@pytest.mark.parametrize("cell_points", [3, 512])
+@pytest.mark.parametrize("cell_points", [3, 4096])
 @pytest.mark.parametrize("name", SCENES)
 def test_aggregates(spark, name, cell_points):
     left, right = scene(name)
