@@ -34,6 +34,46 @@ def sample_pixels(
     return sample_per_group(cells, groups, size, ["x", "y"], seed)
 
 
+def sample_cliff_pixels(
+    cliffs: DataFrame, footprint: DataFrame, scalars: Sequence[str], seed: int = 0
+) -> DataFrame:
+    """Pixels of the cliffs with a score, a share of each one's size, with the cliff's scalars."""
+    sized = cliffs.filter(F.col("mp_score") > 0).select(
+        "cliff_id",
+        *[c for c in scalars if c != "cliff_id"],
+        sample_size_by_cliff(F.col("pixel_count"), F.col("height")).alias("n_samples"),
+    )
+    pixels = footprint.join(sized, "cliff_id")
+    return sample_pixels(pixels, ["cliff_id"], "n_samples", seed).drop("n_samples")
+
+
+def sample_scene_patches(
+    cliffs: DataFrame,
+    footprint: DataFrame,
+    cliff_scenes: DataFrame,
+    scene_cells: DataFrame,
+    bands: Sequence[str],
+    share: float = config.SAMPLE_FRACTION,
+    size: int = config.PATCH_PIXELS,
+    seed: int = 0,
+) -> DataFrame:
+    """Patches around random footprint pixels, from each of a cliff's recent scenes.
+
+    `cliffs` has area_m2, `cliff_scenes` pairs (cliff_id, scene_id). Every scene of a cliff gives
+    the same number of samples, at least one.
+    """
+    counts = cliff_scenes.groupBy("cliff_id").agg(F.count(F.lit(1)).alias("_scenes"))
+    sized = cliffs.join(counts, "cliff_id").select(
+        "cliff_id", sample_size_by_area(F.col("area_m2"), F.col("_scenes"), share).alias("_n")
+    )
+    asked = cliff_scenes.select("cliff_id", "scene_id").join(sized, "cliff_id")
+    pixels = footprint.select("cliff_id", "x", "y").join(asked, "cliff_id")
+    centers = sample_per_group(
+        pixels, ["cliff_id", "scene_id"], "_n", ["scene_id", "x", "y"], seed
+    ).drop("_n")
+    return neighborhoods(centers, scene_cells, bands, size, ["scene_id"])
+
+
 def sample_shards(cells: DataFrame, n_shards: int, size: int) -> DataFrame:
     """One independent sample per shard, seeded by the shard number."""
     shards = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
@@ -43,10 +83,16 @@ def sample_shards(cells: DataFrame, n_shards: int, size: int) -> DataFrame:
 
 
 def neighborhoods(
-    centers: DataFrame, cells: DataFrame, bands: Sequence[str], size: int = config.PATCH_PIXELS
+    centers: DataFrame,
+    cells: DataFrame,
+    bands: Sequence[str],
+    size: int = config.PATCH_PIXELS,
+    on: Sequence[str] = (),
 ) -> DataFrame:
     """A size x size array per band around each centre, northern row first.
 
+    `on` names further columns both tables share, such as the scene.
+
     Each centre asks for its size * size cells, so only sampled centres are spread. Patches
     with a missing cell or a masked value are dropped.
     """
@@ -62,7 +108,7 @@ def neighborhoods(
     whole = F.lit(True)
     for band in bands:
         whole &= F.col(band).isNotNull()
-    found = asked.join(cells.select("x", "y", *bands).filter(whole), ["x", "y"])
+    found = asked.join(cells.select(*on, "x", "y", *bands).filter(whole), [*on, "x", "y"])
     patch = found.groupBy(*keys, "center_x", "center_y").agg(
         F.array_sort(F.collect_list(F.struct("i", "j", *bands))).alias("_p")
     )

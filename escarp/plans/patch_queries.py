@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from escarp.operators import patches
+from escarp.operators import patches, scenes
 from escarp.plans.registry import mix_sql, query
 from escarp.session import scratch_dir
 from escarp.sources import tables, views
@@ -56,6 +56,94 @@ def shard_samples(spark, sf_dir):
     return patches.sample_shards(views.cells(spark, sf_dir), 20, 50).select("shard", "x", "y")
 
 
+_RATED = """rated AS (
+  SELECT s_suppkey AS cliff_id, 0.05 AS height, CAST(4 + s_suppkey % 9 AS DOUBLE) AS pixel_count,
+    (s_suppkey % 4) / 4 AS mp_score FROM supplier),
+footprint AS (
+  SELECT s_suppkey AS cliff_id, (s_suppkey * 53) % 90 + dx AS x, (s_suppkey * 71) % 90 + dy AS y
+  FROM supplier, (SELECT unnest(range(9)) AS dx) a, (SELECT unnest(range(9)) AS dy) b)"""
+
+
+def _rated(spark, sf_dir):
+    key = F.col("s_suppkey")
+    return views.table(spark, sf_dir, "supplier").select(
+        key.alias("cliff_id"),
+        F.lit(0.05).alias("height"),
+        (F.pmod(key, F.lit(9)) + 4).cast("double").alias("pixel_count"),
+        (F.pmod(key, F.lit(4)) / 4).alias("mp_score"),
+    )
+
+
+def _square_footprints(spark, sf_dir, side=9):
+    key, steps = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(side - 1))
+    spread = views.table(spark, sf_dir, "supplier").select(key, F.explode(steps).alias("dx"))
+    return spread.withColumn("dy", F.explode(steps)).select(
+        key.alias("cliff_id"),
+        (F.pmod(key * 53, F.lit(90)) + F.col("dx")).alias("x"),
+        (F.pmod(key * 71, F.lit(90)) + F.col("dy")).alias("y"),
+    )
+
+
+@query(
+    f"""WITH {_RATED}
+SELECT cliff_id, x, y, mp_score, pixel_count FROM rated JOIN footprint USING (cliff_id)
+WHERE mp_score > 0
+QUALIFY row_number() OVER (PARTITION BY cliff_id ORDER BY {_DRAW}, x, y)
+  <= ceil(pixel_count * 0.05 * 0.1 * 1000)"""
+)
+def sampled_pixels_of_rated_cliffs(spark, sf_dir):
+    """Only cliffs with a score; each sample carries the scalars of its cliff."""
+    sampled = patches.sample_cliff_pixels(
+        _rated(spark, sf_dir), _square_footprints(spark, sf_dir), ["mp_score", "pixel_count"]
+    )
+    return sampled.select("cliff_id", "x", "y", "mp_score", "pixel_count")
+
+
+@query(
+    f"""WITH {views.SCENES},
+pairs AS (
+  SELECT s_suppkey AS cliff_id, (s_suppkey + i) % 3 AS scene_id
+  FROM supplier, (SELECT unnest(range(2)) AS i) t),
+small AS (
+  SELECT s_suppkey AS cliff_id, (s_suppkey * 53) % 12 + dx AS x, (s_suppkey * 71) % 12 + dy AS y
+  FROM supplier, (SELECT unnest(range(9)) AS dx) a, (SELECT unnest(range(9)) AS dy) b),
+centers AS (
+  SELECT cliff_id, scene_id, x AS cx, y AS cy FROM small JOIN pairs USING (cliff_id)
+  QUALIFY row_number() OVER (PARTITION BY cliff_id, scene_id
+    ORDER BY {mix_sql("0", "scene_id", "x", "y")}, scene_id, x, y)
+    <= ceil((1000 + 7 * cliff_id) * 0.003 / 2)),
+image AS (
+  SELECT (event_id // 400) % 3 AS scene_id, x, y, max(B4) AS B4 FROM pixels GROUP BY 1, 2, 3)
+SELECT cliff_id, c.scene_id, cx AS center_x, cy AS center_y, CAST(sum(B4) AS DOUBLE) AS total
+FROM centers c JOIN image i ON i.scene_id = c.scene_id AND x BETWEEN cx - 1 AND cx + 1
+  AND y BETWEEN cy - 1 AND cy + 1
+GROUP BY ALL HAVING count(*) = 9"""
+)
+def scene_patches(spark, sf_dir):
+    """3 x 3 patches around sampled pixels, from each recent scene of a cliff."""
+    key, steps = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(8))
+    supplier = views.table(spark, sf_dir, "supplier")
+    pairs = supplier.select(
+        key.alias("cliff_id"), F.explode(F.array(key % 3, (key + 1) % 3)).alias("scene_id")
+    )
+    cliffs = supplier.select(key.alias("cliff_id"), (key * 7 + 1000.0).alias("area_m2"))
+    spread = supplier.select(key, F.explode(steps).alias("dx")).withColumn("dy", F.explode(steps))
+    footprint = spread.select(
+        key.alias("cliff_id"),
+        (F.pmod(key * 53, F.lit(12)) + F.col("dx")).alias("x"),
+        (F.pmod(key * 71, F.lit(12)) + F.col("dy")).alias("y"),
+    )
+    pixels = views.scene_pixels(spark, sf_dir).withColumn(
+        "scene_id", F.floor(F.col("event_id") / 400) % 3
+    )
+    image = scenes.brightest(pixels, ["B4"], ["scene_id", "x", "y"])
+    sampled = patches.sample_scene_patches(cliffs, footprint, pairs, image, ["B4"], size=3)
+    band = F.transform("B4", lambda row: F.transform(row, lambda v: v.cast("double")))
+    return sampled.select(
+        "cliff_id", "scene_id", "center_x", "center_y", patches.grid_sum(band).alias("total")
+    )
+
+
 _SIZE = 15
 
 
