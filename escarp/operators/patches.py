@@ -152,7 +152,7 @@ def grid_mean(grid: Column) -> Column:
 
 
 def terrain_targets(slope: Column, aspect: Column, pi: float = 3.14159) -> dict[str, Column]:
-    """Slope as a share of vertical, aspect as a unit vector; pi as typed in the reference run."""
+    """Slope as a share of vertical, aspect as a unit vector; pi in six digits, as the targets define it."""
     turn = aspect / 360 * 2 * pi
     return {
         "slope_target": slope / 90,

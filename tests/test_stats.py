@@ -62,3 +62,9 @@ def test_mix_is_even(spark):
     draws = spark.range(100_000).select((stats.mix(5, F.col("id")) * 10 / stats.PRIME).cast("int").alias("b"))
     counts = [r["count"] for r in draws.groupBy("b").count().collect()]
     assert len(counts) == 10 and min(counts) > 9_000 and max(counts) < 11_000
+
+
+def test_scratch_lies_in_the_configured_folder(spark):
+    from escarp.session import scratch_dir
+
+    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir") + "/")
