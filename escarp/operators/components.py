@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,9 +90,15 @@ def border_contacts(labelled: DataFrame, tile_cells: int = TILE_CELLS) -> DataFr
     return here.join(there, ["x", "y"]).filter("a <> b").select("a", "b").distinct()
 
 
-def _node_name():
-    """A region is named by one of its cells; the text keeps any grid extent."""
-    return F.concat_ws("_", F.col("local_x"), F.col("local_y"))
+def _node_name() -> Column:
+    """A region is numbered by its smallest cell; x and y each fit into 32 bits."""
+    return F.shiftleft("local_y", 32) + F.col("local_x")
+
+
+def cell_of(node: Column) -> tuple[Column, Column]:
+    """(x, y) of the cell that numbers a region."""
+    y = F.shiftright(node + 2147483648, 32)
+    return node - F.shiftleft(y, 32), y
 
 
 def connected_nodes(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -108,13 +114,13 @@ def connected_nodes(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
         both = current.select("a", "b").unionByName(
             current.select(F.col("b").alias("a"), F.col("a").alias("b"))
         )
-        # a new hash order each round: with plain order a chain of tiles contracts slowly
-        rank = F.struct(F.xxhash64(F.lit(round_no), F.col("b")), F.col("b"))
-        own = F.struct(F.xxhash64(F.lit(round_no), F.col("a")), F.col("a"))
+        # a new hash order each round: with plain order a chain of tiles contracts slowly; two
+        # nodes of equal hash only wait for another round
+        rank = F.xxhash64(F.lit(round_no), F.col("b"))
+        own = F.xxhash64(F.lit(round_no), F.col("a"))
         parent = both.groupBy("a").agg(F.min_by("b", rank).alias("p"), F.min(rank).alias("r"))
         smaller = F.when(F.col("r") < own, F.col("p")).otherwise(F.col("a"))
         parent = parent.select("a", smaller.alias("p"))
-        parent = materialize(parent, f"{scratch}/parent{round_no}")
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         rename = materialize(
             parent.join(up, "p").select("a", F.col("pp").alias("p")), f"{scratch}/rename{round_no}"
@@ -131,7 +137,6 @@ def connected_nodes(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
         )
         next_path = f"{scratch}/edges{round_no + 1}"
         current = materialize(rewritten, next_path)
-        drop_path(spark, f"{scratch}/parent{round_no}")
         drop_path(spark, current_path)
         current_path = next_path
     else:

@@ -212,7 +212,7 @@ def cliff_footprints(spark, sf_dir):
         terrain.steep_cells(ground), ground.select("x", "y", "slope"), GRID, tile_cells=_T
     )
     # a part is named by its smallest cell
-    x, y = F.split("cliff_id", "_")[0].cast("bigint"), F.split("cliff_id", "_")[1].cast("bigint")
+    x, y = components.cell_of(F.col("cliff_id"))
     numbers = [c for c in cliffs.columns if c not in ("cliff_id", "height", "pixel_count")]
     return cliffs.select(
         (y * 1000000 + x).alias("cliff"),
