@@ -189,21 +189,29 @@ def virtual_root(like: DataFrame) -> DataFrame:
 def areas_by_coordinate(rows: DataFrame, double_count_leaf_views: bool = True) -> DataFrame:
     """One area per coordinate that has routes: counts by type, views, topmost name.
 
-    The name is the first in depth-first order: paths compare like that order, prefix first.
+    The name is the first in depth-first order: paths compare like that order, prefix first. A
+    node that inherits its coordinate comes after the one it has it from, so only nodes with an
+    own one are looked at for names; the many routes meet in the plain sums alone.
     """
     kind = route_type(F.col("types"))
     weight = F.when(F.col("types").isNotNull() & F.lit(double_count_leaf_views), 2).otherwise(1)
-    return (
+    counts = (
         rows.groupBy("key_lat", "key_lon")
         .agg(
-            F.min_by(clean_name(F.col("name")), F.col("path")).alias("name"),
             F.count_if(kind == "boulder").alias("n_boulder"),
             F.count_if(kind == "winter").alias("n_winter"),
             F.count_if(kind == "rock").alias("n_rock"),
             F.sum(F.col("views") * weight).alias("n_views"),
         )
         .filter(F.col("n_boulder") + F.col("n_winter") + F.col("n_rock") > 0)
-        .withColumnsRenamed({"key_lat": "latitude", "key_lon": "longitude"})
+    )
+    names = (
+        rows.filter(F.col("lat").isNotNull() & ~F.col("bad_coordinate"))
+        .groupBy("key_lat", "key_lon")
+        .agg(F.min_by(clean_name(F.col("name")), F.col("path")).alias("name"))
+    )
+    return counts.join(names, ["key_lat", "key_lon"]).withColumnsRenamed(
+        {"key_lat": "latitude", "key_lon": "longitude"}
     )
 
 
