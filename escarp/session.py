@@ -28,12 +28,12 @@ def local_session(name: str = "escarp", cpus: str = "*", **conf: str) -> SparkSe
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder of the session.
 
-    Only a local master may fall back to a folder of this machine.
+    Only a master that runs in this one process may fall back to a folder of this machine.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="escarp-")
         context.setCheckpointDir(base)
