@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from escarp.llm import byte_bpe
+from escarp.llm import bitplane, byte_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +47,9 @@ def encoded_documents(docs: DataFrame) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document, and back."""
     return encoded_documents(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document in bit-plane files, read back."""
+    return bitplane.round_trip(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
