@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from escarp.llm import bitplane, byte_bpe
+from escarp.llm import bitplane, byte_bpe, exact_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +54,26 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document in bit-plane files, read back."""
     return bitplane.round_trip(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
+
+
+@query()
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints are linked at 2 or fewer differing bits."""
+    found = simhash.grouped(read(spark, sf_dir, "documents"), budget=2)
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS t FROM documents),
+    g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+    FROM d JOIN g USING (t)
+    """
+)
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest doc_id stays."""
+    return exact_dedup.verdicts(read(spark, sf_dir, "documents"))
