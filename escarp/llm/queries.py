@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escarp.llm import bitplane, byte_bpe, exact_dedup, simhash
+from escarp.llm import bitplane, byte_bpe, exact_dedup, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,13 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the row with the largest doc_id stays."""
     return exact_dedup.verdicts(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a mix of 150% of all words takes, sources weighing 5, 2, 1."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = mixing.taken(mixing.mix(docs))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
