@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escarp.llm import bitplane, byte_bpe, exact_dedup, mixing, simhash
+from escarp.llm import bitplane, byte_bpe, exact_dedup, mixing, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +87,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken"
     )
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.report(read(spark, sf_dir, "documents"))
