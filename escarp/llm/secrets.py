@@ -32,7 +32,7 @@ ACCESS = "AKIA[A-Z0-9]{14,}+"
 HEX = "[0-9a-f]{16,}+"
 
 #: Runs that the models judge, and identifiers that train them.
-RUN = "[A-Za-z0-9+/_=-]{16,}+"
+RUN = "[A-Za-z0-9+/_=-]{20,}+"
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{3,}+"
 #: Documents of the training sample (expected number, by hash of the row).
 SAMPLE_ROWS = 2000
