@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escarp.llm import bitplane, byte_bpe, exact_dedup, mixing, secrets, simhash
+from escarp.llm import bitplane, bloom_lm, byte_bpe, exact_dedup, mixing, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,3 +93,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.report(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learnt from those whose remainder of 7 is not 2."""
+    return bloom_lm.scored(read(spark, sf_dir, "documents"))
