@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escarp.llm import bitplane, bloom_lm, byte_bpe, exact_dedup, mixing, secrets, simhash
+from escarp.llm import (
+    bitplane,
+    bloom_lm,
+    byte_bpe,
+    exact_dedup,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,3 +109,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document, learnt from those whose remainder of 7 is not 2."""
     return bloom_lm.scored(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document, and whether it is toxic."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, read(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "p_marked", "p_repeated", "p_toxic", "is_toxic")
+
+
+@query()
+def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels whose remainder of 5 is not 0."""
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
