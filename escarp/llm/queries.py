@@ -11,6 +11,7 @@ from escarp.llm import (
     bitplane,
     bloom_lm,
     byte_bpe,
+    cap_filters,
     exact_dedup,
     mixing,
     quality,
@@ -123,3 +124,9 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from labels whose remainder of 5 is not 0."""
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings with cosine 0.95 or more."""
+    return cap_filters.near_duplicates(read(spark, sf_dir, "embeddings"))
