@@ -28,6 +28,8 @@ from escarp.session import materialize, scratch_dir
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Without this every state partition reserves several MB of disk for its logs.
+_RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 @contextmanager
@@ -73,7 +75,7 @@ def remember(feed: DataFrame, checkpoint: str) -> DataFrame:
     state = feed.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "at")).alias("keep")
     )
-    with _setting(spark, _PROVIDER, _ROCKS):
+    with _setting(spark, _PROVIDER, _ROCKS), _setting(spark, _RESERVE, "false"):
         run = (
             state.writeStream.format("noop")
             .outputMode("update")
