@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ CHUNK_IDS = 1 << 16
 #: Text of one file: with some 2.5 characters an id, a file holds about ten million ids.
 FILE_CHARS = 24 << 20
 #: Chunk spellings whose ids a Python worker keeps; emptied when full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 
 
 def to_planes(ids: np.ndarray, planes: int, bits: int) -> list[bytes]:
@@ -183,7 +184,7 @@ class _Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, "<u4").tobytes() for one in found]
+        return [pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in found)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row starts).
@@ -231,7 +232,7 @@ def write_files(
         store, path = fs.FileSystem.from_uri(name)
         out = writer = None
         first = 0
-        for rows, data, offsets in slices(batches, "text"):
+        for rows, data, offsets in slices(batches, "text", 4 << 20):
             if writer is None:
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 out = store.open_output_stream(path)
@@ -301,8 +302,9 @@ def round_trip(
     folder = scratch_dir(docs.sparkSession)
     documents = write_files(docs, tokenizer_file, folder, id_col=id_col, text_col=text_col)
     files = documents.groupBy("part", "file").agg(F.count(F.lit(1)).alias("rows"))
-    files = materialize(files.repartition(F.col("file")), f"{folder}/files")
-    read = materialize(read_files(files), f"{folder}/read")
+    files = materialize(files, f"{folder}/files")
+    spread = files.repartition(max(1, files.count()), "file")  # a file is a task
+    read = materialize(read_files(spread), f"{folder}/read")
     sizes = read.groupBy("file").agg(F.sum("n_tokens").alias("ids")).join(files, "file")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
