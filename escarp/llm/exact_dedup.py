@@ -31,6 +31,9 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 #: Without this every state partition reserves several MB of disk for its logs.
 _RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
+#: Rows of a group that are compared with their kept text in one place.
+GROUP_ROWS = 1024
+
 
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
@@ -112,13 +115,15 @@ def deduplicated(
     stream = spark.readStream.schema(feed.schema).parquet(f"{scratch}/feed")
     state = materialize(remember(stream, f"{scratch}/state"), f"{scratch}/remembered")
 
-    hits = state.filter("n > 1").select("digest", "keep")
+    # a large group is compared in as many places as it has thousands of rows
+    hits = state.filter("n > 1").withColumn("last", F.expr(f"n div {GROUP_ROWS}"))
     texts = scan.select(_digest(text).alias("digest"), locator.alias("at"), text.alias("bytes"))
-    members = texts.join(hits, "digest")
+    members = texts.join(hits, "digest").withColumn("place", F.expr("pmod(xxhash64(at), last + 1)"))
     stays = members.filter(F.col("at") == F.col("keep.at")).select(
-        "digest", F.col("bytes").alias("kept_bytes")
+        "digest", F.explode(F.expr("sequence(0L, last)")).alias("place"), F.col("bytes").alias("kept_bytes")
     )
-    unequal = members.join(stays, "digest").filter("bytes <> kept_bytes").select("digest").distinct()
+    compared = members.join(stays, ["digest", "place"])
+    unequal = compared.filter("bytes <> kept_bytes").select("digest").distinct()
     unequal = materialize(unequal, f"{scratch}/unequal")
     if unequal.isEmpty():
         return feed.join(state, "digest"), scan.withColumn("at", locator)
