@@ -30,6 +30,7 @@ from escarp.session import materialize, scratch_dir
 
 BUCKET_ROWS = 128
 ROUNDS = 24
+TASK_SLOTS = 1 << 15
 CELLS = 1024
 
 
@@ -136,7 +137,9 @@ def mix(
 
     documents = _packed(sized, plan, max(1, rows // BUCKET_ROWS), scratch)
     counts = materialize(_counts(plan, shard_slots, seed, scratch), f"{scratch}/counts")
-    return Mix(plan, documents, _slots(counts, plan, seed), counts)
+    total = counts.agg(F.sum("slots")).first()[0] or 0
+    slots = _slots(counts, plan, seed, total // TASK_SLOTS + 1)
+    return Mix(plan, documents, materialize(slots, f"{scratch}/slots"), counts)
 
 
 def _packed(sized: DataFrame, plan: DataFrame, buckets: int, scratch: str) -> DataFrame:
@@ -220,13 +223,14 @@ def _counts(plan: DataFrame, shard_slots: int, seed: int, scratch: str) -> DataF
     )
 
 
-def _slots(counts: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+def _slots(counts: DataFrame, plan: DataFrame, seed: int, tasks: int) -> DataFrame:
     """One row per slot: shard, sid, pass and block."""
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         counts.withColumn("offset", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
-        .withColumn("rank", F.explode(F.expr("sequence(offset, offset + slots - 1)")))
         .join(plan.select("sid", "blocks"), "sid")
+        .repartition(tasks, "shard", "sid")
+        .withColumn("rank", F.explode(F.expr("sequence(offset, offset + slots - 1)")))
         .withColumn("pass", F.expr("rank div blocks"))
         .withColumn("index", F.expr("rank % blocks"))
     )
