@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from escarp.llm.texts import lowered, remainder, slices, words_of
 from escarp.session import materialize, scratch_dir
 
-MAX_BITS = 1 << 31
+MAX_BITS = 1 << 30
 BITS_PER_ENTRY = 10
 PROBES = 5
-HEAD = 1 << 20
+HEAD = 1 << 18
 MU = 20.0
 #: Text characters for each part of the hash range, and n-grams that a task adds up at once.
 PART_CHARS = 24 << 20
@@ -293,8 +293,8 @@ def scored(
     words = materialize(words, f"{scratch}/words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = spark.sparkContext.broadcast(_built(ngrams, total, distinct))
-    top = words.orderBy(F.desc("c"), "hash").limit(HEAD).toPandas().sort_values("hash")
-    head = spark.sparkContext.broadcast((top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    top = words.orderBy(F.desc("c"), "hash").limit(HEAD).toArrow().sort_by("hash")
+    head = spark.sparkContext.broadcast((top["hash"].to_numpy(), top["c"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
