@@ -98,9 +98,9 @@ def remember(feed: DataFrame, checkpoint: str) -> DataFrame:
 
 
 def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_col: str = "at"
 ) -> tuple[DataFrame, DataFrame]:
-    """(verdict, rows): (id, at, digest, n, keep) of every row, and the documents with `at` added.
+    """(verdict, rows): (id, at, digest, n, keep) of every row, and the documents with `at_col` added.
 
     `at` is the row's locator, `keep` the (id, at) of the row that stays, `n` the group's size.
     """
@@ -126,8 +126,8 @@ def deduplicated(
     unequal = compared.filter("bytes <> kept_bytes").select("digest").distinct()
     unequal = materialize(unequal, f"{scratch}/unequal")
     if unequal.isEmpty():
-        return feed.join(state, "digest"), scan.withColumn("at", locator)
-    return _regrouped(feed, state, texts, unequal), scan.withColumn("at", locator)
+        return feed.join(state, "digest"), scan.withColumn(at_col, locator)
+    return _regrouped(feed, state, texts, unequal), scan.withColumn(at_col, locator)
 
 
 def _regrouped(
@@ -156,6 +156,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the rows whose text another row keeps."""
-    found, rows = deduplicated(docs, id_col, text_col)
-    dropped = found.filter(F.col("at") != F.col("keep.at")).select("at")
-    return rows.join(dropped, "at", "left_anti").select(*docs.columns)
+    at_col = "at"
+    while at_col in docs.columns:
+        at_col += "_"
+    found, rows = deduplicated(docs, id_col, text_col, at_col)
+    dropped = found.filter(F.col("at") != F.col("keep.at")).select(F.col("at").alias(at_col))
+    return rows.join(dropped, at_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -122,7 +122,7 @@ def mix(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     carried = [c for c in docs.columns if c not in (text_col, source_col)]
     sized = docs.select(
-        F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carried]).alias("row"),
+        F.struct(*([F.col(f"`{c}`") for c in carried] or [F.lit(0)])).alias("row"),
         F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(text).alias("text_hash"),
@@ -283,7 +283,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, **options) -> DataFr
     carried = [c for c in docs.columns if c not in ("text", "source")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     content = docs.select(
-        F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carried]).alias("row"),
+        F.struct(*([F.col(f"`{c}`") for c in carried] or [F.lit(0)])).alias("row"),
         F.xxhash64(text).alias("text_hash"),
         F.col("text"),
     ).dropDuplicates(["row", "text_hash"])

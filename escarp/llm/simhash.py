@@ -124,13 +124,12 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     for number, chosen in enumerate(combinations(range(len(blocks)), 2)):
         top = [blocks[i] for i in chosen]
         rest = [block for i, block in enumerate(blocks) if i not in chosen]
-        depth = sum(width for _, width in rest)
+        width = sum(w for _, w in rest)
         tries.append(
             F.struct(
                 F.lit(number).alias("trie"),
                 _packed(F.col("fp"), top).alias("top"),
-                F.shiftleft(_packed(F.col("fp"), rest), 64 - depth).alias("rest"),
-                F.lit(depth).alias("depth"),
+                F.shiftleft(_packed(F.col("fp"), rest), 64 - width).alias("rest"),
             )
         )
     leaves = materialize(
@@ -160,7 +159,7 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
             .select("trie", "top", F.col("l").alias("p"), F.col("r").alias("q"), "diff")
         )
         pairs = materialize(pairs, f"{scratch}/pairs{depth}")
-    found = F.shiftrightunsigned("rest", 64 - deepest)
+    found = F.shiftrightunsigned("rest", 64 - depth)
     left = leaves.select("trie", "top", found.alias("p"), F.col("fp").alias("a"))
     right = leaves.select("trie", "top", found.alias("q"), F.col("fp").alias("b"))
     return (
