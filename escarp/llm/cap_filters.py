@@ -36,7 +36,7 @@ from escarp.session import materialize, scratch_dir
 
 BLOCKS, TABLES = 2, 4
 #: Expected directions of a vector in a code, vectors in a direction, and vectors of a chunk.
-LIST, BUCKET, CHUNK = 10.0, 48.0, 512
+LIST, BUCKET, CHUNK = 16.0, 256.0, 512
 SEED = 11
 
 

@@ -36,9 +36,10 @@ RUN = "[A-Za-z0-9+/_=-]{20,}+"
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{3,}+"
 #: Documents of the training sample (expected number, by hash of the row).
 SAMPLE_ROWS = 2000
-#: Least log-likelihood ratio of a secret, and count added to every transition.
-LEAST_RATIO = 12.0
-SMOOTHING = 0.5
+#: Least log-likelihood ratio of a secret, and weight of the character frequencies in a transition:
+#: a character that is rare among identifiers says little about its followers there.
+LEAST_RATIO = 6.0
+SMOOTHING = 100.0
 
 _CODES = 95
 _BLOCK = 256
@@ -133,16 +134,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
         spans.select(F.lit(0).alias("random"), F.explode(ordinary).alias("word"))
     )
     pairs = labelled.select("random", F.explode(F.expr(_transitions("word"))).alias("pair"))
-    counts = [[SMOOTHING] * (_CODES * _CODES) for _ in range(2)]
+    counts = [[0] * (_CODES * _CODES) for _ in range(2)]
     for row in pairs.groupBy("random", "pair").count().collect():  # at most 2 x 95 x 95 rows
         counts[row["random"]][row["pair"]] += row["count"]
     logs = []
     for table in counts:
+        single = [sum(table[code::_CODES]) + 0.5 for code in range(_CODES)]
+        rates = [n / sum(single) for n in single]
         out = []
         for first in range(_CODES):
             line = table[first * _CODES : (first + 1) * _CODES]
-            total = math.log(sum(line))
-            out += [math.log(n) - total for n in line]
+            total = sum(line) + SMOOTHING
+            out += [math.log((n + SMOOTHING * r) / total) for n, r in zip(line, rates, strict=True)]
         logs.append(out)
     return [a - b for a, b in zip(logs[1], logs[0], strict=True)]
 
