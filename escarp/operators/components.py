@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 from escarp.operators.terrain import TILE_CELLS, with_tile
 from escarp.session import drop_path, materialize, scratch_dir
 
-MAX_ROUNDS = 64
-
 
 def _label_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Index of the smallest cell of each cell's region; cells are unique."""
@@ -101,16 +99,19 @@ def cell_of(node: Column) -> tuple[Column, Column]:
     return node - F.shiftleft(y, 32), y
 
 
-def connected_nodes(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, component) for every node of an undirected edge list (a, b)."""
+def connected_nodes(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of an undirected edge list (a, b).
+
+    Every round joins each node that is not its neighbourhood's smallest by hash to another, so the
+    rounds end with the edges.
+    """
     spark = edges.sparkSession
     scratch = scratch_dir(spark)
     current = materialize(edges.select("a", "b").filter("a <> b").distinct(), f"{scratch}/edges0")
     current_path = f"{scratch}/edges0"
     renames = []
-    for round_no in range(max_rounds):
-        if current.isEmpty():
-            break
+    while not current.isEmpty():
+        round_no = len(renames)
         both = current.select("a", "b").unionByName(
             current.select(F.col("b").alias("a"), F.col("a").alias("b"))
         )
@@ -139,8 +140,6 @@ def connected_nodes(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
         current = materialize(rewritten, next_path)
         drop_path(spark, current_path)
         current_path = next_path
-    else:
-        raise RuntimeError(f"regions still open after {max_rounds} rounds")
     if not renames:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     # follow the renames from the last round back to the first

@@ -110,24 +110,30 @@ def canonical_names(df: DataFrame, aliases: Mapping[str, str] = ALIASES) -> Data
 
 
 def raw_score(cliffs: DataFrame, matches: DataFrame) -> DataFrame:
-    """1000 + routes + views of the matched areas, 0 without any (`mp_score`, `n_views`)."""
+    """1000 + routes + views of the matched areas, 0 without any (`mp_score`, `n_views`).
+
+    A matched area whose counts are NULL is a match with 0 routes and views.
+    """
     found = matches.groupBy("cliff_id").agg(
-        F.sum("n_views").alias("_views"), F.sum("n_rock").alias("_rock")
+        F.sum("n_views").alias("_views"),
+        F.sum("n_rock").alias("_rock"),
+        F.count(F.lit(1)).alias("_matches"),
     )
-    matched = F.col("_views").isNotNull() | F.col("_rock").isNotNull()
+    matched = F.col("_matches").isNotNull()
     views, rock = F.coalesce("_views", F.lit(0)), F.coalesce("_rock", F.lit(0))
     return (
         cliffs.join(found, "cliff_id", "left")
         .withColumn("n_views", views)
         .withColumn("mp_score", F.when(matched, views + rock + 1000).otherwise(0))
-        .drop("_views", "_rock")
+        .drop("_views", "_rock", "_matches")
     )
 
 
 def log_score(raw: Column) -> Column:
-    """0 below 1000, else log2 / 10 - 1 kept within 0 and 1."""
-    scaled = F.log2(raw.cast("double")) / 10 - 1
-    return F.when(raw < 1000, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
+    """0 below 1000, else log2 / 10 - 1 kept within 0 and 1; NULL and NaN give NULL."""
+    value = raw.cast("double")
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log2(value) / 10 - 1))
+    return F.when(value < 1000, 0.0).when(value.isNotNull() & ~F.isnan(value), scaled)
 
 
 def plausible_shape() -> Column:

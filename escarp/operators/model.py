@@ -27,7 +27,11 @@ from escarp.functions.stats import PRIME, mix, with_ordinal
 
 TREE_MODELS = ("tree", "forest", "gbt")
 MODELS = ("linear", "ridge", "lasso", "knn", *TREE_MODELS)
-NOT_INPUTS = ("latitude", "longitude", "is_accessible", ".geo", "mp_score")
+# fixed values: columns that say where a site is or what is to be predicted, old and new names
+NOT_INPUTS = (
+    *("latitude", "longitude", "lat", "lon", "name", "site_id", "cliff_id", ".geo"),
+    *("is_accessible", "n_rock", "mp_score"),
+)
 
 # fixed values: search grids, in the names of Spark ML parameters
 GRIDS: dict[str, dict[str, list]] = {
@@ -57,7 +61,9 @@ GRIDS: dict[str, dict[str, list]] = {
 
 
 def feature_columns(df: DataFrame, drop: Sequence[str] = NOT_INPUTS) -> list[str]:
-    return [c for c in df.columns if c not in drop]
+    """Numeric columns that are neither identity nor target."""
+    numeric = (T.NumericType, T.BooleanType)
+    return [f.name for f in df.schema.fields if f.name not in drop and isinstance(f.dataType, numeric)]
 
 
 def with_split(

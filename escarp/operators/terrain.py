@@ -152,12 +152,16 @@ def tile_grid(
     )
 
 
-def tile_of(lat: Column, lon: Column) -> dict[str, Column]:
-    """Grid position of the rectangle that holds a coordinate."""
-    return {
-        "tile_x": F.floor((lon - config.XMIN) / config.DX),
-        "tile_y": F.floor((lat - config.YMIN) / config.DY),
-    }
+def tile_of(
+    lat: Column,
+    lon: Column,
+    xmin: float = config.XMIN,
+    dx: float = config.DX,
+    ymin: float = config.YMIN,
+    dy: float = config.DY,
+) -> dict[str, Column]:
+    """Grid position of the rectangle that holds a coordinate, in the grid of `tile_grid`."""
+    return {"tile_x": F.floor((lon - xmin) / dx), "tile_y": F.floor((lat - ymin) / dy)}
 
 
 def tiles_touching(tiles: DataFrame, region_points: DataFrame) -> DataFrame:

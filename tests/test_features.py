@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from escarp.operators import features, model, patches, scenes, zonal
+from escarp.operators import features, model, patches, scenes, terrain, zonal
 from escarp.session import scratch_dir
 from escarp.sources import tables
 
@@ -190,3 +190,35 @@ def test_composite_ignores_cloudy_scenes(spark):
     assert got == {(0, 0): 15.0, (1, 0): 5.0}
 
 
+
+
+def test_missing_scores_stay_missing(spark):
+    rows = [(1, 999.0), (2, 1000.0), (3, 2.0**20), (4, None), (5, float("nan"))]
+    frame = spark.createDataFrame(rows, "id int, raw double")
+    got = {r.id: r.s for r in frame.select("id", features.log_score(F.col("raw")).alias("s")).collect()}
+    assert got[1] == got[2] == 0.0 and got[3] == 1.0
+    assert got[4] is None and got[5] is None
+
+
+def test_match_without_counts_is_a_match(spark):
+    cliffs = spark.createDataFrame([(1,), (2,)], "cliff_id int")
+    matches = spark.createDataFrame([(1, None, None)], "cliff_id int, n_views long, n_rock long")
+    got = {r.cliff_id: (r.mp_score, r.n_views) for r in features.raw_score(cliffs, matches).collect()}
+    assert got == {1: (1000, 0), 2: (0, 0)}
+
+
+def test_other_grids_find_their_tiles(spark):
+    grid = {"xmin": 0.0, "dx": 2.0, "ymin": 10.0, "dy": 3.0}
+    tiles = terrain.tile_grid(spark, xmax=4.0, ymax=16.0, **grid)
+    points = spark.createDataFrame([(11.0, 1.0), (17.5, 5.0)], "lat double, lon double")
+    own = points.select(*[c.alias(n) for n, c in terrain.tile_of(F.col("lat"), F.col("lon"), **grid).items()])
+    assert tiles.count() == 9
+    assert tiles.join(own, ["tile_x", "tile_y"], "left_semi").count() == 2
+
+
+def test_stage_columns_that_are_no_features(spark):
+    frame = spark.createDataFrame(
+        [(1, 2.0, 3.0, "n", 5, 6.0, 7.0, True)],
+        "site_id int, lat double, lon double, name string, n_rock int, height double, mp_score double, is_accessible boolean",
+    )
+    assert model.feature_columns(frame) == ["height"]
