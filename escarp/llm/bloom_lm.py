@@ -44,8 +44,10 @@ BITS_PER_ENTRY = 10
 PROBES = 5
 HEAD = 1 << 18
 MU = 20.0
-#: Text characters for each part of the hash range, and n-grams that a task adds up at once.
-PART_CHARS = 24 << 20
+#: Text characters for each part of the hash range, most parts, and n-grams that a task adds up at
+#: once. A part is one row, of a few MB up to MAX_PARTS x PART_CHARS.
+PART_CHARS = 4 << 20
+MAX_PARTS = 1 << 16
 FLUSH = 3 << 20
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x20end"))  # no word holds a blank
@@ -96,9 +98,10 @@ def _text(docs: DataFrame, *columns: Column, text_col: str = "text") -> DataFram
 
 
 def count_ngrams(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, order, keys, counts): n-grams of each part of the hash range with their counts.
+    """(part, order, entries, keys, counts): n-grams of each part of the hash range.
 
-    Keys are ascending 64-bit hashes, counts 64-bit; both packed.
+    Keys are ascending 64-bit hashes, counts 32-bit, levelled off at the largest; both packed.
+    `entries` is how many entries the filter gets from them.
     """
 
     def packed(keys: np.ndarray, counts: np.ndarray, order: int) -> Iterator[list]:
@@ -152,14 +155,16 @@ def count_ngrams(texts: DataFrame, parts: int) -> DataFrame:
                 [
                     pa.array([part], pa.int32()),
                     pa.array([order], pa.int32()),
+                    pa.array([int(levels(counts).sum())]),
                     pa.array([keys.tobytes()], pa.binary()),
-                    pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary()),
                 ],
-                ["part", "order", "keys", "counts"],
+                ["part", "order", "entries", "keys", "counts"],
             )
 
-    schema = "part int, order int, keys binary, counts binary"
-    return texts.mapInArrow(run, schema).repartition(parts, "part").mapInArrow(merge, schema)
+    sent_as = "part int, order int, keys binary, counts binary"
+    merged = "part int, order int, entries long, keys binary, counts binary"
+    return texts.mapInArrow(run, sent_as).repartition(parts, "part").mapInArrow(merge, merged)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -228,13 +233,7 @@ class Filter:
 def _built(ngrams: DataFrame, total: int, distinct: int) -> Filter:
     """The filter of counted n-grams, segment by segment; at most MAX_BITS come to the driver."""
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column(3)]
-            entries = [int(levels(c).sum()) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entries)], ["part", "n"])
-
-    entries = ngrams.mapInArrow(sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    entries = ngrams.groupBy("part").agg(F.sum("entries").alias("n"))
     number, most = entries.agg(F.max("part") + 1, F.max("n")).first()
     if not number:
         return Filter(np.zeros((1, 8), np.uint8), 0, 0)
@@ -243,9 +242,9 @@ def _built(ngrams: DataFrame, total: int, distinct: int) -> Filter:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, keys, counts in zip(
-                batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True
+                batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True
             ):
-                pair = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
+                pair = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32)
                 segment = Filter.segment([pair], bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([segment.tobytes()], pa.binary())],
@@ -254,7 +253,8 @@ def _built(ngrams: DataFrame, total: int, distinct: int) -> Filter:
 
     segments = np.zeros((number, bits // 8), np.uint8)
     # one segment per part and order: two rows of a part are joined by OR
-    for row in ngrams.mapInArrow(build, "part int, bits binary").toLocalIterator():
+    packed = ngrams.select("part", "keys", "counts")
+    for row in packed.mapInArrow(build, "part int, bits binary").toLocalIterator():
         segments[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
     return Filter(segments, total, distinct)
 
@@ -275,21 +275,21 @@ def scored(
     apart = remainder(F.col(id_col), modulus) == held_out
     training = _text(docs.filter(~apart), text_col=text_col)
     chars = training.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = 12 + int(chars // PART_CHARS)
+    parts = min(MAX_PARTS, 12 + int(chars // PART_CHARS))
     ngrams = materialize(count_ngrams(training, parts), f"{scratch}/ngrams")
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column(2), batch.column(3), strict=True):
+            for keys, counts in zip(*batch.columns, strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.frombuffer(keys.as_buffer(), np.int64)),
-                        pa.array(np.frombuffer(counts.as_buffer(), np.int64)),
+                        pa.array(np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)),
                     ],
                     ["hash", "c"],
                 )
 
-    words = ngrams.filter("order = 1").mapInArrow(spelled, "hash long, c long")
+    words = ngrams.filter("order = 1").select("keys", "counts").mapInArrow(spelled, "hash long, c long")
     words = materialize(words, f"{scratch}/words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = spark.sparkContext.broadcast(_built(ngrams, total, distinct))
