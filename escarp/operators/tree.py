@@ -43,11 +43,11 @@ def route_type(types: Column) -> Column:
 
 
 def precise_coordinate(gps2: Column) -> tuple[Column, Column]:
-    """(lat, lon) of the high-precision text 'lat,lon'."""
+    """(lat, lon) of the high-precision text 'lat,lon'; NULL where it cannot be read."""
     parts = F.split(gps2, ",")
     return (
-        F.trim(F.element_at(parts, 1)).cast("double"),
-        F.trim(F.element_at(parts, 2)).cast("double"),
+        F.trim(F.try_element_at(parts, F.lit(1))).try_cast("double"),
+        F.trim(F.try_element_at(parts, F.lit(2))).try_cast("double"),
     )
 
 
@@ -59,16 +59,19 @@ def coordinates_disagree(lat: Column, lon: Column, gps2: Column) -> Column:
 
 
 def _with_key(level: DataFrame, on_bad: str) -> DataFrame:
-    """Own coordinate if the node has one, else the parent's (`up_lat`, `up_lon`)."""
+    """Own coordinate if the node has one, else the parent's (`up_lat`, `up_lon`).
+
+    An own coordinate is bad if its precise text is missing, unreadable or disagrees.
+    """
     if on_bad not in ("fail", "quarantine"):
         raise ValueError(f"unknown mode {on_bad!r}")
-    bad = F.coalesce(
-        coordinates_disagree(F.col("lat"), F.col("long"), F.col("gps2")), F.lit(False)
-    )
     own = F.col("lat").isNotNull()
+    disagree = coordinates_disagree(F.col("lat"), F.col("long"), F.col("gps2"))
+    bad = own & F.coalesce(disagree, F.lit(True))
     lat2, lon2 = precise_coordinate(F.col("gps2"))
     if on_bad == "fail":
-        message = F.concat(F.lit("coordinates disagree: "), F.coalesce("url", F.lit("?")))
+        fault = F.when(disagree, "coordinates disagree: ").otherwise("no precise coordinate: ")
+        message = F.concat(fault, F.coalesce("url", F.lit("?")))
         lat2 = F.when(bad, F.raise_error(message).cast("double")).otherwise(lat2)
     else:
         own &= ~bad
@@ -186,9 +189,12 @@ def virtual_root(like: DataFrame) -> DataFrame:
     )
 
 
-def areas_by_coordinate(rows: DataFrame, double_count_leaf_views: bool = True) -> DataFrame:
+def areas_by_coordinate(
+    rows: DataFrame, double_count_leaf_views: bool = True, with_path: bool = False
+) -> DataFrame:
     """One area per coordinate that has routes: counts by type, views, topmost name.
 
+    `with_path` adds the `path` of the node that gives the name, which orders areas by position.
     The name is the first in depth-first order: paths compare like that order, prefix first. A
     node that inherits its coordinate comes after the one it has it from, so only nodes with an
     own one are looked at for names; the many routes meet in the plain sums alone.
@@ -208,11 +214,13 @@ def areas_by_coordinate(rows: DataFrame, double_count_leaf_views: bool = True) -
     names = (
         rows.filter(F.col("lat").isNotNull() & ~F.col("bad_coordinate"))
         .groupBy("key_lat", "key_lon")
-        .agg(F.min_by(clean_name(F.col("name")), F.col("path")).alias("name"))
-    )
-    return counts.join(names, ["key_lat", "key_lon"]).withColumnsRenamed(
-        {"key_lat": "latitude", "key_lon": "longitude"}
+        .agg(
+            F.min_by(clean_name(F.col("name")), F.col("path")).alias("name"),
+            F.min("path").alias("path"),
+        )
     )
+    found = counts.join(names if with_path else names.drop("path"), ["key_lat", "key_lon"])
+    return found.withColumnsRenamed({"key_lat": "latitude", "key_lon": "longitude"})
 
 
 def random_branches(nodes: DataFrame, n_draws: int, seed: int = 0) -> DataFrame:

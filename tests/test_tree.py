@@ -80,6 +80,17 @@ def test_bad_coordinate_in_quarantine(spark):
     assert rows.filter("name = 'C'").first()["key_lat"] == 40.0
 
 
+@pytest.mark.parametrize("gps2", [None, "", "41.0", "north,west"])
+def test_coordinate_without_precise_text_is_bad(spark, gps2):
+    nodes = bad_roots(spark).withColumn("gps2", F.when(F.col("node_id") == "b", F.lit(gps2)).otherwise(F.col("gps2")))
+    with pytest.raises(Exception, match="no precise coordinate: u/b"):
+        tree.flatten_adjacency(nodes).collect()
+    rows = tree.flatten_adjacency(nodes, on_bad="quarantine").cache()
+    assert [r["name"] for r in rows.filter("bad_coordinate").collect()] == ["B"]
+    found = tree.areas_by_coordinate(rows, with_path=True).collect()
+    assert [(r["name"], r["n_rock"], r["path"]) for r in found] == [("A", 1, [0])]
+
+
 def test_clean_name(spark):
     names = [" a b ", "x\r\ny", " pad ", "", "one\x0btwo", "q r"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(tree.clean_name(F.col("n")))
