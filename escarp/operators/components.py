@@ -51,27 +51,44 @@ def _label_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _label_tile(tile: pd.DataFrame) -> pd.DataFrame:
     x, y = tile["x"].to_numpy(), tile["y"].to_numpy()
     root = _label_grid(x, y)
-    return tile.drop(columns=["tx", "ty"]).assign(local_x=x[root], local_y=y[root])
+    helpers = ["tx", "ty", "_rx", "_ry"]
+    return tile.drop(columns=helpers, errors="ignore").assign(local_x=x[root], local_y=y[root])
 
 
-def tile_components(cells: DataFrame, tile_cells: int = TILE_CELLS) -> DataFrame:
-    """Region of each cell within its tile, named by a cell of it (local_x, local_y).
+def _rectangle(split_cells: int) -> list[Column]:
+    """Position of the rectangle of `split_cells` x `split_cells` cells that holds a cell."""
+    return [F.floor(F.col(c) / split_cells).alias(f"_r{c}") for c in ("x", "y")]
 
-    Cells are unique in (x, y); other columns are carried along.
+
+def tile_components(
+    cells: DataFrame, tile_cells: int = TILE_CELLS, split_cells: int | None = None
+) -> DataFrame:
+    """Region of each cell within its tile, named by its smallest cell (local_x, local_y).
+
+    With `split_cells` also within its rectangle. Cells are unique in (x, y); other columns are
+    carried along.
     """
     typed = cells.withColumns({c: F.col(c).cast("bigint") for c in ("x", "y")})
     schema = T.StructType(
         [*typed.schema.fields]
         + [T.StructField("local_x", T.LongType()), T.StructField("local_y", T.LongType())]
     )
-    return with_tile(typed, tile_cells).groupBy("tx", "ty").applyInPandas(_label_tile, schema)
-
-
-def border_contacts(labelled: DataFrame, tile_cells: int = TILE_CELLS) -> DataFrame:
-    """Pairs of tile regions that touch across a tile border, once each."""
-    last = tile_cells - 1
-    column, row = F.pmod(F.col("x"), F.lit(tile_cells)), F.pmod(F.col("y"), F.lit(tile_cells))
-    border = (column == 0) | (column == last) | (row == 0) | (row == last)
+    tiled = with_tile(typed, tile_cells)
+    keys = ["tx", "ty"]
+    if split_cells:
+        tiled = tiled.select("*", *_rectangle(split_cells))
+        keys += ["_rx", "_ry"]
+    return tiled.groupBy(*keys).applyInPandas(_label_tile, schema)
+
+
+def border_contacts(
+    labelled: DataFrame, tile_cells: int = TILE_CELLS, split_cells: int | None = None
+) -> DataFrame:
+    """Pairs (a, b) of tile regions that touch, once each; `inside` if in the same rectangle."""
+    border = F.lit(False)
+    for size in {tile_cells, split_cells or tile_cells}:
+        for name in ("x", "y"):
+            border |= F.pmod(F.col(name), F.lit(size)).isin(0, size - 1)
     edge_cells = labelled.filter(border).withColumn("node", _node_name())
     offsets = F.array(
         *[
@@ -85,7 +102,14 @@ def border_contacts(labelled: DataFrame, tile_cells: int = TILE_CELLS) -> DataFr
         F.col("node").alias("a"),
     )
     there = edge_cells.select("x", "y", F.col("node").alias("b"))
-    return here.join(there, ["x", "y"]).filter("a <> b").select("a", "b").distinct()
+    touching = here.join(there, ["x", "y"]).filter("a <> b").select("a", "b").distinct()
+    if not split_cells:
+        return touching.withColumn("inside", F.lit(True))
+    # a tile region lies in one rectangle: that of the cell that names it
+    same = F.lit(True)
+    for one, two in zip(cell_of(F.col("a")), cell_of(F.col("b")), strict=True):
+        same &= F.floor(one / split_cells) == F.floor(two / split_cells)
+    return touching.withColumn("inside", same)
 
 
 def _node_name() -> Column:
@@ -150,17 +174,39 @@ def connected_nodes(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("a").alias("node"), F.col("p").alias("component"))
 
 
-def connected_components(cells: DataFrame, tile_cells: int = TILE_CELLS) -> DataFrame:
-    """Cells with `component` (whole region) and `local` (region within the tile).
+def _smallest_names(edges: DataFrame, out: str) -> DataFrame:
+    """(local, out): every node with the smallest node of its component."""
+    labels = connected_nodes(edges)
+    smallest = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return labels.join(smallest, "component").select(
+        F.col("node").alias("local"), F.col("least").alias(out)
+    )
+
+
+def connected_components(
+    cells: DataFrame, tile_cells: int = TILE_CELLS, split_cells: int | None = None
+) -> DataFrame:
+    """Cells with `component` (whole region) and `part` (connected part within a rectangle).
 
-    The tile labels are written once: they are read for the contacts and for the result.
+    Rectangles have `split_cells` x `split_cells` cells and start at (0, 0); without them a part
+    is the whole region. Both are numbered by their smallest cell (`cell_of`). `tile_cells` is
+    only how much one task labels; it does not change the result. The tile labels are written
+    once: they are read for the contacts and for the result.
     """
     scratch = scratch_dir(cells.sparkSession)
-    labelled = materialize(tile_components(cells, tile_cells), f"{scratch}/tiles")
-    merged = connected_nodes(border_contacts(labelled, tile_cells))
-    return (
+    labelled = materialize(tile_components(cells, tile_cells, split_cells), f"{scratch}/tiles")
+    contacts = materialize(border_contacts(labelled, tile_cells, split_cells), f"{scratch}/contacts")
+    named = (
         labelled.withColumn("local", _node_name())
         .drop("local_x", "local_y")
-        .join(merged.withColumnRenamed("node", "local"), "local", "left")
+        .join(_smallest_names(contacts, "component"), "local", "left")
         .withColumn("component", F.coalesce("component", "local"))
     )
+    if not split_cells:
+        return named.withColumn("part", F.col("component")).drop("local")
+    parts = _smallest_names(contacts.filter("inside"), "part")
+    return (
+        named.join(parts, "local", "left")
+        .withColumn("part", F.coalesce("part", "local"))
+        .drop("local")
+    )

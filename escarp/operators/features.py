@@ -60,14 +60,15 @@ def climbing_areas(areas: DataFrame) -> DataFrame:
 def summarize_matches(matched: DataFrame) -> DataFrame:
     """Per cliff: summed routes and views, names joined newest first with ' - ' after each.
 
-    The text of one cliff is one value, so its names do meet; numbers combine before.
+    Newest is the largest `ord`, a number or a path in the tree. The text of one cliff is one
+    value, so its names do meet; numbers combine before.
     """
     return (
         matched.groupBy("cliff_id")
         .agg(
             F.sum("n_rock").alias("n_rock"),
             F.sum("n_views").alias("n_views"),
-            F.array_sort(F.collect_list(F.struct((-F.col("ord")).alias("o"), "name"))).alias("_n"),
+            F.sort_array(F.collect_list(F.struct("ord", "name")), asc=False).alias("_n"),
         )
         .withColumn(
             "name", F.concat(F.array_join(F.transform("_n", lambda n: n["name"]), " - "), F.lit(" - "))

@@ -35,28 +35,31 @@ class Georeference:
     def lon(self, x: Column) -> Column:
         return x * self.step + self.west
 
+    def cells_in(self, degrees: float) -> int:
+        """Cells along so many degrees."""
+        return max(1, round(degrees / self.step))
+
 
 def cliff_cells(
     steep: DataFrame,
     value: str = "elevation",
     min_height: float = config.MIN_HEIGHT_M,
-    split_by_tile: bool = True,
+    split_cells: int | None = None,
     tile_cells: int = TILE_CELLS,
 ) -> DataFrame:
     """Cells (cliff_id, x, y, value, height) of steep regions taller than `min_height`.
 
-    Height is that of the whole region. With `split_by_tile` a region that crosses a tile edge
-    gives one cliff per connected part in each tile.
+    Height is that of the whole region. With `split_cells` a region that crosses an edge of the
+    rectangles of so many cells a side gives one cliff per connected part in each of them.
     """
-    regions = connected_components(steep.select("x", "y", value), tile_cells)
+    regions = connected_components(steep.select("x", "y", value), tile_cells, split_cells)
     heights = (
         regions.groupBy("component")
         .agg((F.max(value) - F.min(value)).alias("height"))
         .filter(F.col("height") > min_height)
     )
-    name = "local" if split_by_tile else "component"
     return regions.join(heights, "component").select(
-        F.col(name).alias("cliff_id"), "x", "y", value, "height"
+        F.col("part").alias("cliff_id"), "x", "y", value, "height"
     )
 
 
@@ -208,15 +211,17 @@ def footprints(
     grid: Georeference,
     value: str = "elevation",
     min_height: float = config.MIN_HEIGHT_M,
-    split_by_tile: bool = True,
+    split_degrees: float | None = config.DX,
     tile_cells: int = TILE_CELLS,
     buffer_cells: float = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Cliff table and its dilated footprint cells.
 
+    Cliffs split at rectangles of `split_degrees` from the corner of the grid, None: not at all.
     Mean elevation is over steep cells only, slope percentiles over the whole footprint.
     """
-    cells = cliff_cells(steep, value, min_height, split_by_tile, tile_cells)
+    split_cells = grid.cells_in(split_degrees) if split_degrees else None
+    cells = cliff_cells(steep, value, min_height, split_cells, tile_cells)
     footprint = dilate(cells, buffer_cells)
     cliffs = (
         vectorize(cells)

@@ -75,7 +75,7 @@ def _terrain(spark, sf_dir):
 
 def _cliff_cells(spark, sf_dir, split=True):
     steep = terrain.steep_cells(_terrain(spark, sf_dir))
-    return zonal.cliff_cells(steep, split_by_tile=split, tile_cells=_T)
+    return zonal.cliff_cells(steep, split_cells=_T if split else None, tile_cells=_T)
 
 
 def _named(cells, names="cliff_id"):
@@ -209,7 +209,11 @@ def cliff_footprints(spark, sf_dir):
     """The footprint table: height, pixels, centroid, mean elevation, slope percentiles."""
     ground = _terrain(spark, sf_dir)
     cliffs, footprint = zonal.footprints(
-        terrain.steep_cells(ground), ground.select("x", "y", "slope"), GRID, tile_cells=_T
+        terrain.steep_cells(ground),
+        ground.select("x", "y", "slope"),
+        GRID,
+        split_degrees=_T * GRID.step,
+        tile_cells=_T,
     )
     # a part is named by its smallest cell
     x, y = components.cell_of(F.col("cliff_id"))

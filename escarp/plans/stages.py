@@ -66,10 +66,8 @@ def site_stages(inputs: Inputs) -> list[Stage]:
     """areas -> ground -> footprints -> cliffs -> cliff features -> joined -> model table."""
 
     def areas(read):
-        rows = tree.areas_by_coordinate(inputs.areas)
-        return rows.withColumnsRenamed({"latitude": "lat", "longitude": "lon"}).withColumn(
-            "ord", F.xxhash64("lat", "lon")
-        )
+        rows = tree.areas_by_coordinate(inputs.areas, with_path=True)
+        return rows.withColumnsRenamed({"latitude": "lat", "longitude": "lon", "path": "ord"})
 
     def ground(read):
         return terrain.gradient(inputs.elevation, "elevation", inputs.cell_m, inputs.tile_cells).select(
@@ -78,7 +76,8 @@ def site_stages(inputs: Inputs) -> list[Stage]:
 
     def cliff_cells(read):
         steep = terrain.steep_cells(read("ground"))
-        return zonal.cliff_cells(steep, tile_cells=inputs.tile_cells)
+        split_cells = inputs.grid.cells_in(config.DX)
+        return zonal.cliff_cells(steep, split_cells=split_cells, tile_cells=inputs.tile_cells)
 
     def footprints(read):
         return zonal.dilate(read("cliff_cells"))

@@ -93,14 +93,33 @@ def test_height_must_exceed_threshold(spark):
     assert {(r["x"], r["y"]) for r in cliffs.collect()} == {(5, 5), (6, 6)}
 
 
-def test_cliff_over_tile_edge_splits_and_keeps_the_whole_height(spark):
+@pytest.mark.parametrize("tile", [2, 3, 4, 512])
+def test_cliff_splits_at_rectangles_whatever_the_tile_and_keeps_the_whole_height(spark, tile):
     steep = spark.createDataFrame(
         [(x, 0, 100 * x) for x in range(6)], "x int, y int, elevation int"
     )
-    parts = zonal.vectorize(zonal.cliff_cells(steep, tile_cells=4)).collect()
-    assert sorted((r["height"], r["pixel_count"]) for r in parts) == [(500, 2), (500, 4)]
-    whole = zonal.vectorize(zonal.cliff_cells(steep, tile_cells=4, split_by_tile=False)).collect()
-    assert [(r["height"], r["pixel_count"]) for r in whole] == [(500, 6)]
+    split = zonal.cliff_cells(steep, split_cells=4, tile_cells=tile)
+    parts = zonal.vectorize(split).collect()
+    assert sorted((r["cliff_id"], r["height"], r["pixel_count"]) for r in parts) == [
+        (0, 500, 4),
+        (4, 500, 2),
+    ]
+    whole = zonal.vectorize(zonal.cliff_cells(steep, tile_cells=tile)).collect()
+    assert [(r["cliff_id"], r["height"], r["pixel_count"]) for r in whole] == [(0, 500, 6)]
+
+
+@pytest.mark.parametrize("tile", [3, 5, 64])
+def test_parts_of_a_rectangle_join_only_inside_it(spark, tile):
+    # a U: its arms lie in the lower rectangle, their bridge in the upper one
+    cells = [(x, y) for x in (1, 4) for y in range(6, 8)] + [(x, 8) for x in range(1, 5)]
+    steep = spark.createDataFrame([(x, y, 30 * y) for x, y in cells], "x int, y int, elevation int")
+    got = zonal.cliff_cells(steep, split_cells=8, tile_cells=tile).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["cliff_id"], set()).add((r["x"], r["y"]))
+    arms = [{(1, 6), (1, 7)}, {(4, 6), (4, 7)}]
+    assert sorted(parts.values(), key=min) == sorted([*arms, {(x, 8) for x in range(1, 5)}], key=min)
+    assert {r["height"] for r in got} == {60}
 
 
 def test_dilation_holds_the_footprint_and_joins_diagonals(spark):
