@@ -94,31 +94,28 @@ def sample_per_group(
 
     `size` is a number or the name of a column constant within the group. Rows are taken in
     order of `mix(seed, identity)`, so the same rows come back on every run. Bin counts tell
-    up to which bin a group is needed; rows beyond it are dropped before any shuffle of rows.
+    which bins of a group are needed; rows meet them by group and bin, so a hot group is spread
+    over its bins, and rows of other bins are dropped. NULL groups are groups like any other.
     """
-    groups = list(groups)
+    # inside a struct NULL equals NULL
+    group = F.struct(F.lit(0).alias("all"), *[F.col(g) for g in groups])
     limit = F.col(size) if isinstance(size, str) else F.lit(size)
-    keyed = df.withColumn("_draw", mix(seed, *[F.col(c) for c in identity])).withColumn(
-        "_bin", F.floor(F.col("_draw") * n_bins / PRIME)
+    keyed = df.withColumn("_draw", mix(seed, *[F.col(c) for c in identity])).withColumns(
+        {"_bin": F.floor(F.col("_draw") * n_bins / PRIME), "_group": group}
     )
-    cut = (
-        keyed.groupBy(*groups, "_bin")
+    needed = (
+        keyed.groupBy("_group", "_bin")
         .agg(F.count(F.lit(1)).alias("_n"), F.max(limit).alias("_limit"))
-        .withColumn("_offset", _running(groups, "_n"))
-        .filter(F.col("_offset") < F.col("_limit"))
-        .groupBy(*groups)
-        .agg(
-            F.max("_bin").alias("_last"),
-            F.min(F.col("_limit") - F.col("_offset")).alias("_left"),
-        )
+        .withColumn("_left", F.col("_limit") - _running(["_group"], "_n"))
+        .filter("_left > 0")
+        .select("_group", "_bin", "_left")
     )
-    joined = keyed.join(cut, groups) if groups else keyed.join(F.broadcast(cut))
-    within = W.partitionBy(*groups, "_bin").orderBy("_draw", *identity)
+    within = W.partitionBy("_group", "_bin").orderBy("_draw", *identity)
     return (
-        joined.filter(F.col("_bin") <= F.col("_last"))
+        keyed.join(needed, ["_group", "_bin"])
         .withColumn("_place", F.row_number().over(within))
-        .filter((F.col("_bin") < F.col("_last")) | (F.col("_place") <= F.col("_left")))
-        .drop("_draw", "_bin", "_last", "_left", "_place")
+        .filter("_place <= _left")
+        .drop("_draw", "_bin", "_group", "_left", "_place")
     )
 
 

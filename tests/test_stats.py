@@ -68,3 +68,10 @@ def test_scratch_lies_in_the_configured_folder(spark):
     from escarp.session import scratch_dir
 
     assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir") + "/")
+
+
+def test_sample_keeps_null_groups(spark):
+    rows = spark.range(500).selectExpr("id", "IF(id % 2 = 0, NULL, 'odd') AS g")
+    got = stats.sample_per_group(rows, ["g"], 20, ["id"], 1)
+    assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {None: 20, "odd": 20}
+    assert stats.sample_per_group(rows, [], 30, ["id"], 1).count() == 30
