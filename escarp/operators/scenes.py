@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from escarp.functions.stats import percentiles
-
 
 def between_dates(
     scenes: DataFrame, start: str, end: str | None = None, time: str = "time_start"
@@ -109,14 +107,12 @@ def cloud_reduced_composite(
     A scene counts where its cloud score is at most the cell's lowest score + `cloud_range`.
     """
     cells = list(cells)
-    clearest = pixels.groupBy(*cells).agg(F.min(cloud).alias("_clear"))
-    clear = pixels.join(clearest, cells).filter(F.col(cloud) <= F.col("_clear") + cloud_range)
-    long = clear.select(*cells, *[F.col(b).cast("double").alias(b) for b in bands]).unpivot(
-        cells, list(bands), "band", "value"
-    )
-    ranked = percentiles(long, [*cells, "band"], "value", [percent])
-    return ranked.groupBy(*cells).agg(
-        *[F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands]
+    # a group is the scenes of one cell, bounded by the data model: one exchange is enough
+    clearest = F.min(cloud).over(W.partitionBy(*cells))
+    clear = pixels.withColumn("_clear", clearest).filter(F.col(cloud) <= F.col("_clear") + cloud_range)
+    usable = {b: F.nanvl(F.col(b).cast("double"), F.lit(None).cast("double")) for b in bands}
+    return clear.groupBy(*cells).agg(
+        *[F.percentile(value, percent / 100).alias(b) for b, value in usable.items()]
     )
 
 
