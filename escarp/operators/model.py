@@ -5,11 +5,11 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -17,13 +17,13 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from escarp.functions.stats import PRIME, mix, with_ordinal
+from escarp.session import materialize, scratch_dir
 
 TREE_MODELS = ("tree", "forest", "gbt")
 MODELS = ("linear", "ridge", "lasso", "knn", *TREE_MODELS)
@@ -276,48 +276,39 @@ def search_settings(
     seed: int = 0,
     parallelism: int = 2,
 ) -> DataFrame:
-    """Mean cross-validated R2 of random settings: rows (model, params, r2), best first."""
+    """Mean cross-validated R2 of random settings: rows (model, params, r2), best first.
+
+    The fold of a row follows from its identity alone. Everything that depends on the training
+    rows, the scale of a penalty too, is taken from the rows of the fold at hand.
+    """
     spark = train.sparkSession
     settings = random_settings(name, n_iter, seed)
-    if name == "knn":
-        scores = [_knn_cv(train, features, target, identity, n_folds, seed, **s) for s in settings]
-    else:
-        pipeline = regressor(name, train, features, target)
-        stage = pipeline.getStages()[-1]
-        n, spread = _population(train, target)
-        maps = []
-        for setting in settings:
-            chosen = dict(setting)
-            if "alpha" in chosen:
-                alpha = float(chosen.pop("alpha"))
-                chosen["regParam"] = alpha * spread / n if name == "ridge" else alpha
-            maps.append({stage.getParam(k): v for k, v in chosen.items()})
-        search = CrossValidator(
-            estimator=pipeline,
-            estimatorParamMaps=maps,
-            evaluator=RegressionEvaluator(
-                labelCol=target, predictionCol="prediction", metricName="r2"
-            ),
-            numFolds=n_folds,
-            seed=seed,
-            parallelism=parallelism,
-        )
-        scores = search.fit(train).avgMetrics
+    fold = F.pmod(mix(F.lit(seed), F.col(identity)), F.lit(n_folds)).alias("_fold")
+    columns = dict.fromkeys((identity, target, *features))
+    folded = materialize(train.select(*columns, fold), f"{scratch_dir(spark)}/folds")
+
+    def score(setting: dict) -> float:
+        return _cross_validated(name, folded, features, target, identity, n_folds, setting)
+
+    with ThreadPoolExecutor(parallelism) as pool:  # the fits themselves run on the cluster
+        scores = list(pool.map(score, settings))
     rows = [
-        (name, {k: str(v) for k, v in setting.items()}, float(score))
-        for setting, score in zip(settings, scores)
+        (name, {k: str(v) for k, v in setting.items()}, score)
+        for setting, score in zip(settings, scores, strict=True)
     ]
     result = spark.createDataFrame(rows, "model string, params map<string,string>, r2 double")
     return result.orderBy(F.col("r2").desc())
 
 
-def _knn_cv(train, features, target, identity, n_folds, seed, k, p) -> float:
-    folded = train.withColumn("_fold", F.pmod(mix(F.lit(seed), F.col(identity)), F.lit(n_folds)))
+def _cross_validated(name, folded, features, target, identity, n_folds, setting) -> float:
     scores = []
     for fold in range(n_folds):
         held_out = folded.filter(F.col("_fold") == fold)
         rest = folded.filter(F.col("_fold") != fold)
-        scored = knn_predict(rest, held_out, features, target, identity, k, p)
+        if name == "knn":
+            scored = knn_predict(rest, held_out, features, target, identity, **setting)
+        else:
+            scored = predict(fit(name, rest, features, target, **setting), held_out)
         scores.append(scored.agg(r2(scored, target).alias("r2")).first()["r2"])
     return float(np.mean(scores))
 

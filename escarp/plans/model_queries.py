@@ -319,6 +319,30 @@ def searched_settings(spark, sf_dir):
     return model.search_settings("ridge", rows, _INPUTS, "l_extendedprice", "l_orderkey", 3)
 
 
+_FOLD = f"{mix_sql('0', 'l_orderkey')} % 5"
+_ALPHAS = [setting["alpha"] for setting in model.random_settings("ridge", 8)]
+
+
+@query(
+    f"""WITH items AS (SELECT l_quantity AS x, l_extendedprice AS y, {_FOLD} AS fold FROM lineitem),
+folds AS (SELECT unnest(range(5)) AS held),
+moments AS (SELECT held, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS c,
+    var_pop(x) AS v FROM folds JOIN items ON fold <> held GROUP BY held),
+alphas AS (SELECT unnest({_ALPHAS}::DOUBLE[]) AS alpha),
+scored AS (SELECT alpha, held, y, my + c * n / (v * n + alpha) * (x - mx) AS p
+  FROM moments JOIN items ON fold = held, alphas),
+errors AS (SELECT alpha, held, 1 - sum(power(y - p, 2)) / (var_pop(y) * count(*)) AS r2
+  FROM scored GROUP BY alpha, held)
+SELECT alpha, round(avg(r2), 9) AS r2 FROM errors GROUP BY alpha"""
+)
+def cross_validated_ridge(spark, sf_dir):
+    """All penalties of the grid on one feature; folds and penalty scale follow from the rows."""
+    items = views.table(spark, sf_dir, "lineitem")
+    found = model.search_settings("ridge", items, ["l_quantity"], "l_extendedprice", "l_orderkey", 8)
+    alpha = F.col("params")["alpha"].cast("double").alias("alpha")
+    return found.select(alpha, F.round("r2", 9).alias("r2"))
+
+
 @query()
 def tuned_and_default_scores(spark, sf_dir):
     rows = _sales(spark, sf_dir)
