@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escarp import config
-from escarp.operators.proximity import aggregate_within, nearest_within
+from escarp.operators.proximity import aggregate_within, nearest_within, zones_within
 
 # fixed values: older column names and the ones used here
 ALIASES = {
@@ -78,11 +78,18 @@ def summarize_matches(matched: DataFrame) -> DataFrame:
 
 
 def attach_areas(
-    cliffs: DataFrame, areas: DataFrame, radius_m: float = config.MATCH_RADIUS_M
+    cliffs: DataFrame,
+    areas: DataFrame,
+    radius_m: float = config.MATCH_RADIUS_M,
+    footprint: DataFrame | None = None,
 ) -> DataFrame:
-    """Each area goes to its closest cliff; cliffs without one get 0, 0 and ''."""
+    """Each area goes to the cliff with the closest cell; cliffs without one get 0, 0 and ''.
+
+    `footprint` has a row (cliff_id, lat, lon) per cell; without it a cliff is its own point.
+    """
+    points = cliffs if footprint is None else footprint
     matched = nearest_within(
-        areas, cliffs.select("lat", "lon", "cliff_id"), "cliff_id", radius_m, "cliff_id"
+        areas, points.select("lat", "lon", "cliff_id"), "cliff_id", radius_m, "cliff_id"
     )
     return cliffs.join(summarize_matches(matched), "cliff_id", "left").withColumns(
         {
@@ -94,16 +101,27 @@ def attach_areas(
 
 
 def attach_vicinity(
-    cliffs: DataFrame, areas: DataFrame, radius_m: float = config.VICINITY_RADIUS_M
+    cliffs: DataFrame,
+    areas: DataFrame,
+    radius_m: float = config.VICINITY_RADIUS_M,
+    footprint: DataFrame | None = None,
 ) -> DataFrame:
-    """Routes, views and number of all areas around each cliff; 0 when there are none."""
-    aggs = {
-        "vicinity_n_rock": ("sum", F.col("n_rock")),
-        "vicinity_n_views": ("sum", F.col("n_views")),
-        "vicinity_n_areas": ("sum", F.lit(1)),
-    }
-    around = aggregate_within(cliffs, areas, {"": radius_m}, aggs)
-    return around.withColumns({n: F.coalesce(n, F.lit(0)) for n in aggs})
+    """Routes, views and number of all areas around each cliff; 0 when there are none.
+
+    With `footprint` (cliff_id, lat, lon per cell) an area is near if some cell is, and counts once.
+    """
+    names = ["vicinity_n_rock", "vicinity_n_views", "vicinity_n_areas"]
+    values = [F.col("n_rock"), F.col("n_views"), F.lit(1)]
+    if footprint is None:
+        aggs = {n: ("sum", v) for n, v in zip(names, values, strict=True)}
+        around = aggregate_within(cliffs, areas, {"": radius_m}, aggs)
+    else:
+        near = zones_within(
+            areas.select("lat", "lon", "n_rock", "n_views"), footprint, "cliff_id", radius_m
+        )
+        sums = [F.sum(v).alias(n) for n, v in zip(names, values, strict=True)]
+        around = cliffs.join(near.groupBy("cliff_id").agg(*sums), "cliff_id", "left")
+    return around.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
 
 
 def canonical_names(df: DataFrame, aliases: Mapping[str, str] = ALIASES) -> DataFrame:
@@ -216,7 +234,10 @@ def vicinity_summary(
     cliffs: DataFrame,
     radius_m: float = config.PROBE_RADIUS_M,
 ) -> DataFrame:
-    """Around each probe point: routes, the tallest cliff, the most viewed area."""
+    """Around each probe point: routes, the tallest cliff, the most viewed area.
+
+    `cliffs` has `height` on its rows, one per cliff or one per cell of its footprint.
+    """
     from_areas = {
         "n_routes": ("sum", F.col("n_rock")),
         "_top": ("max", F.struct("n_views", (-F.col("ord")).alias("o"), "name")),

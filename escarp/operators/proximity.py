@@ -236,6 +236,25 @@ def aggregate_within(
     return left.join(around, ["lat", "lon"], "left")
 
 
+def zones_within(
+    left: DataFrame, cells: DataFrame, zone_id: str, radius_m: float, out_distance: str = "distance_m"
+) -> DataFrame:
+    """Each left row with every zone that has a cell within the radius, and that zone's distance.
+
+    `cells` has `zone_id`, `lat` and `lon`. A row and a zone meet once, however many cells are near:
+    cells combine to the zone's least distance before the shuffle. Left rows without a zone are
+    dropped, as are rows without a coordinate.
+    """
+    grid = CellGrid(float(radius_m))
+    anchors = _points(left, {}).select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
+    placed = cells.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    keyed = _keyed(placed.select(zone_id, "lat", "lon").distinct(), grid)
+    keyed = keyed.withColumns(dict(zip(["_cy", "_cx"], _cell(grid, 0), strict=True)))
+    near = _meet(_with_ring(anchors, grid), keyed, float(radius_m))
+    zones = near.groupBy("l_lat", "l_lon", zone_id).agg(F.min("distance_m").alias(out_distance))
+    return left.join(zones.withColumnsRenamed({"l_lat": "lat", "l_lon": "lon"}), ["lat", "lon"])
+
+
 def densify_segments(segments: DataFrame, step_m: float) -> DataFrame:
     """Points at most `step_m` apart along segments (lat1, lon1, lat2, lon2), ends included."""
     length = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))

@@ -104,6 +104,13 @@ def centroids(footprint: DataFrame, grid: Georeference) -> DataFrame:
     )
 
 
+def cell_points(footprint: DataFrame, grid: Georeference) -> DataFrame:
+    """The cells of each footprint as points: distances to a cliff are to its nearest cell."""
+    return footprint.select(
+        "cliff_id", grid.lat(F.col("y")).alias("lat"), grid.lon(F.col("x")).alias("lon")
+    )
+
+
 def areas_m2(footprint: DataFrame, grid: Georeference) -> DataFrame:
     """Footprint area: cells shrink east-west with the cosine of latitude."""
     side = grid.step * METERS_PER_DEGREE

@@ -17,8 +17,9 @@ SITE_AREA_M = distance_sql("s.lat", "s.lon", "a.lat", "a.lon")
 _IN_EXTENT = "lon BETWEEN -125 AND -102 AND lat BETWEEN 31 AND 49"
 
 _MATCHED = f"""pairs AS (
-  SELECT a.ord, a.name, a.n_rock, a.n_views, s.cliff_id, {SITE_AREA_M} AS d
-  FROM areas a, sites s WHERE a.n_rock > 0 AND a.{_IN_EXTENT.replace(" lat", " a.lat")}),
+  SELECT a.ord, a.name, a.n_rock, a.n_views, s.cliff_id, min({SITE_AREA_M}) AS d
+  FROM areas a, site_cells s WHERE a.n_rock > 0 AND a.{_IN_EXTENT.replace(" lat", " a.lat")}
+  GROUP BY ALL),
 matched AS (
   SELECT * FROM pairs WHERE d <= {MATCH_M}
   QUALIFY row_number() OVER (PARTITION BY ord ORDER BY d, cliff_id) = 1),
@@ -31,7 +32,7 @@ vicinity AS (
          CAST(sum(n_views) AS BIGINT) AS vicinity_n_views, count(*) AS vicinity_n_areas
   FROM pairs WHERE d <= {NEAR_M} GROUP BY cliff_id)"""
 
-_WITH = f"WITH {views.AREAS}, {views.SITES}, {_MATCHED}"
+_WITH = f"WITH {views.AREAS}, {views.SITES}, {views.SITE_CELLS}, {_MATCHED}"
 
 
 @query(
@@ -43,12 +44,16 @@ def climbing_areas(spark, sf_dir):
     return kept.select("ord", "name", "lat", "lon", "n_rock", "n_views")
 
 
+def _wall(spark, sf_dir):
+    return views.site_cells(spark, sf_dir).select("cliff_id", "lat", "lon")
+
+
 @query(
     f"""{_WITH} SELECT ord, name, cliff_id, round(d, 3) AS distance_m FROM matched"""
 )
 def nearest_cliff_per_area(spark, sf_dir):
     areas = features.climbing_areas(views.areas(spark, sf_dir))
-    matched = nearest_within(areas, views.sites(spark, sf_dir), "cliff_id", MATCH_M, "cliff_id")
+    matched = nearest_within(areas, _wall(spark, sf_dir), "cliff_id", MATCH_M, "cliff_id")
     return matched.select(
         "ord", "name", "cliff_id", F.round("distance_m", 3).alias("distance_m")
     )
@@ -57,7 +62,7 @@ def nearest_cliff_per_area(spark, sf_dir):
 @query(f"""{_WITH} SELECT * FROM labels""")
 def matched_area_labels(spark, sf_dir):
     areas = features.climbing_areas(views.areas(spark, sf_dir))
-    matched = nearest_within(areas, views.sites(spark, sf_dir), "cliff_id", MATCH_M, "cliff_id")
+    matched = nearest_within(areas, _wall(spark, sf_dir), "cliff_id", MATCH_M, "cliff_id")
     return features.summarize_matches(matched)
 
 
@@ -66,9 +71,9 @@ def matched_area_labels(spark, sf_dir):
 coalesce(name, '') AS name FROM sites s LEFT JOIN labels USING (cliff_id)"""
 )
 def cliffs_with_area_labels(spark, sf_dir):
-    joined = features.attach_areas(
-        views.sites(spark, sf_dir), features.climbing_areas(views.areas(spark, sf_dir)), MATCH_M
-    )
+    areas = features.climbing_areas(views.areas(spark, sf_dir))
+    sites = views.sites(spark, sf_dir)
+    joined = features.attach_areas(sites, areas, MATCH_M, _wall(spark, sf_dir))
     return joined.select("cliff_id", "n_rock", "n_views", "name")
 
 
@@ -78,9 +83,9 @@ coalesce(vicinity_n_views, 0) AS vicinity_n_views, coalesce(vicinity_n_areas, 0)
 FROM sites LEFT JOIN vicinity USING (cliff_id)"""
 )
 def cliffs_with_vicinity(spark, sf_dir):
-    joined = features.attach_vicinity(
-        views.sites(spark, sf_dir), features.climbing_areas(views.areas(spark, sf_dir)), NEAR_M
-    )
+    areas = features.climbing_areas(views.areas(spark, sf_dir))
+    sites = views.sites(spark, sf_dir)
+    joined = features.attach_vicinity(sites, areas, NEAR_M, _wall(spark, sf_dir))
     return joined.select("cliff_id", "vicinity_n_rock", "vicinity_n_views", "vicinity_n_areas")
 
 
@@ -96,8 +101,9 @@ LEFT JOIN vicinity v ON s.cliff_id = v.cliff_id"""
 def scored_cliffs(spark, sf_dir):
     """Nearest join, labels, vicinity and score: the joined site table."""
     areas = features.climbing_areas(views.areas(spark, sf_dir))
-    joined = features.attach_areas(views.sites(spark, sf_dir), areas, MATCH_M)
-    joined = features.attach_vicinity(joined, areas, NEAR_M)
+    wall = _wall(spark, sf_dir)
+    joined = features.attach_areas(views.sites(spark, sf_dir), areas, MATCH_M, wall)
+    joined = features.attach_vicinity(joined, areas, NEAR_M, wall)
     raw = F.when(F.col("name") != "", F.col("n_rock") + F.col("n_views") + 1000).otherwise(0)
     return joined.select(
         "cliff_id",
@@ -140,9 +146,9 @@ def roads_near_cliffs(spark, sf_dir):
 
 
 @query(
-    f"""WITH {views.AREAS}, {views.SITES}, {views.ROADS},
+    f"""WITH {views.AREAS}, {views.SITE_CELLS}, {views.ROADS},
 near AS (SELECT s.road_id, a.* FROM roads s, areas a WHERE {SITE_AREA_M} <= {PROBE_M}),
-tall AS (SELECT s.road_id, max(a.height) AS h FROM roads s, sites a
+tall AS (SELECT s.road_id, max(a.height) AS h FROM roads s, site_cells a
   WHERE {SITE_AREA_M} <= {PROBE_M} GROUP BY 1),
 agg AS (SELECT road_id, CAST(sum(n_rock) AS BIGINT) AS n_routes,
   arg_min(name, (-n_views, ord)) AS top_area FROM near GROUP BY 1)
@@ -153,21 +159,19 @@ FROM roads LEFT JOIN agg USING (road_id) LEFT JOIN tall USING (road_id)"""
 )
 def vicinity_of_probes(spark, sf_dir):
     summary = features.vicinity_summary(
-        views.roads(spark, sf_dir), views.areas(spark, sf_dir), views.sites(spark, sf_dir), PROBE_M
+        views.roads(spark, sf_dir), views.areas(spark, sf_dir), views.site_cells(spark, sf_dir), PROBE_M
     )
     return summary.select("road_id", "n_routes", "tallest_cliff", "top_area")
 
 
 @query(
-    f"""WITH {views.AREAS}, {views.SITES} SELECT DISTINCT s.cliff_id FROM sites s, areas a
+    f"""WITH {views.AREAS}, {views.SITE_CELLS} SELECT DISTINCT s.cliff_id FROM site_cells s, areas a
 WHERE {SITE_AREA_M} <= 20000"""
 )
 def cliffs_intersecting_disks(spark, sf_dir):
-    """Cliffs that lie in the disk around some area."""
-    near = nearest_within(
-        views.sites(spark, sf_dir), views.areas(spark, sf_dir), "ord", 20_000, "ord"
-    )
-    return near.select("cliff_id")
+    """Cliffs with a cell in the disk around some area."""
+    near = nearest_within(_wall(spark, sf_dir), views.areas(spark, sf_dir), "ord", 20_000, "ord")
+    return near.select("cliff_id").distinct()
 
 
 @query(
@@ -190,6 +194,7 @@ def height_colors(spark, sf_dir):
     )
 
 
+# fixed values: the box of the area check
 _YOSEMITE = (-119.7, 37.0, -119.5, 38.0)
 
 

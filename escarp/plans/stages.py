@@ -114,8 +114,9 @@ def site_stages(inputs: Inputs) -> list[Stage]:
 
     def joined(read):
         near = features.climbing_areas(read("areas"))
-        labelled = features.attach_areas(read("cliff_data"), near)
-        return features.attach_vicinity(labelled, near)
+        cells = zonal.cell_points(read("footprints"), inputs.grid)
+        labelled = features.attach_areas(read("cliff_data"), near, footprint=cells)
+        return features.attach_vicinity(labelled, near, footprint=cells)
 
     def modelled(read):
         seen = F.col("name") != ""

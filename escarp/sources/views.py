@@ -107,6 +107,30 @@ SITES = """sites AS (
   FROM supplier)"""
 
 
+def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints of the sites: walls of 1 to 5 cells that run north-east, longer than the radii."""
+    key = F.col("s_suppkey")
+    i = F.col("i")
+    return (
+        table(spark, sf_dir, "supplier")
+        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pmod(key, F.lit(5)))))
+        .select(
+            key.alias("cliff_id"),
+            ((F.pmod(key * 32453, F.lit(180000)) + 310000 + i * 700) / 10000.0).alias("lat"),
+            ((F.pmod(key * 15485, F.lit(230000)) - 1250000 + i * 2300) / 10000.0).alias("lon"),
+            (F.pmod(key * 37, F.lit(900)) + 20).alias("height"),
+        )
+    )
+
+
+SITE_CELLS = """site_cells AS (
+  SELECT s_suppkey AS cliff_id,
+         (310000 + (s_suppkey * 32453) % 180000 + i * 700) / 10000.0 AS lat,
+         (-1250000 + (s_suppkey * 15485) % 230000 + i * 2300) / 10000.0 AS lon,
+         20 + (s_suppkey * 37) % 900 AS height
+  FROM (SELECT s_suppkey, unnest(range(0, s_suppkey % 5 + 1)) AS i FROM supplier) t)"""
+
+
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Road points from parts."""
     key = F.col("p_partkey")

@@ -116,3 +116,16 @@ def test_densified_line(spark):
     points = sorted((r["lon"] for r in densify_segments(line, 100).collect()))
     assert points[0] == -110.0 and points[-1] == pytest.approx(-109.99)
     assert max(metres((40, a), (40, b)) for a, b in zip(points, points[1:])) <= 100
+
+
+def test_a_wall_longer_than_the_radius_counts_each_area_once(spark):
+    from escarp.operators.features import attach_areas, attach_vicinity
+
+    cells = [(1, 40.0, -110.0 + 0.0005 * i) for i in range(60)] + [(2, 40.01, -110.0)]
+    wall = spark.createDataFrame(cells, "cliff_id long, lat double, lon double")
+    cliffs = spark.createDataFrame([(1, 40.0, -109.985), (2, 40.01, -110.0), (3, 50.0, 5.0)], "cliff_id long, lat double, lon double")
+    areas = [(1, "end", 40.0, -109.9705, 3, 10), (2, "start", 40.0, -110.001, 1, 5), (2, "start", 40.0, -110.001, 1, 5), (4, "far", 41.0, -110.0, 9, 9), (5, "lost", None, -110.0, 9, 9)]
+    areas = spark.createDataFrame(areas, "ord long, name string, lat double, lon double, n_rock long, n_views long")
+    got = attach_vicinity(attach_areas(cliffs, areas, 300, wall), areas, 300, wall)
+    got = {r["cliff_id"]: (r["n_rock"], r["n_views"], r["name"], r["vicinity_n_areas"], r["vicinity_n_rock"]) for r in got.collect()}
+    assert got == {1: (5, 20, "start - start - end - ", 3, 5), 2: (0, 0, "", 0, 0), 3: (0, 0, "", 0, 0)}
