@@ -14,8 +14,11 @@ Counting: tasks hash the n-grams of their texts, add equal ones up, and send the
 to the part of the hash range they belong to. A part merges what it gets and builds its segment of
 the filter: all n-grams of a part live there, so nothing larger than a part is ever in one place,
 and as an n-gram is one entry per task no frequent one makes a part hot. The number of parts and the
-bits grow with the text, the bits up to MAX_BITS (the broadcast's proven bound); beyond it the
-rate of false positives rises, and no n-gram is left out.
+bits grow with the text, BITS_PER_ENTRY for each entry at every size.
+
+A filter of up to MAX_BITS is broadcast. A larger one stays where its parts are: texts become chunks,
+each sends its distinct n-grams to ranges of parts, a range probes them in its segments, and the
+levels go back to the chunk. Both ways probe the same bits, so scores are the same.
 
 The exact add-one score needs exact counts. The most frequent HEAD words are broadcast with theirs;
 words beyond are joined by hash, and none of them is frequent. Words are told apart by 64-bit hashes.
@@ -27,7 +30,7 @@ every count is 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,9 @@ MU = 20.0
 PART_CHARS = 4 << 20
 MAX_PARTS = 1 << 16
 FLUSH = 3 << 20
+#: Bits of the segments that a range holds, and tokens of a chunk, where the filter is not broadcast.
+RANGE_BITS = 1 << 27
+CHUNK_TOKENS = 1 << 20
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x20end"))  # no word holds a blank
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -181,9 +187,12 @@ def _positions(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarra
 class Filter:
     """Segments of bits, one per part of the hash range; counts are probed."""
 
-    def __init__(self, segments: np.ndarray, total: int, distinct: int):
+    def __init__(
+        self, segments: np.ndarray, total: int, distinct: int, parts: int | None = None, first: int = 0
+    ):
+        """`segments` are those of all parts, or of some of `parts` from the part `first` on."""
         self.segments, self.total, self.distinct = segments, total, distinct
-        self.parts, self.bits = len(segments), segments.shape[1] * 8
+        self.parts, self.bits, self.first = parts or len(segments), segments.shape[1] * 8, first
 
     @staticmethod
     def segment(pairs: list[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
@@ -197,11 +206,11 @@ class Filter:
                     np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the range of the last level that is there."""
-        found = np.zeros(len(keys), np.int64)
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """The last level that is there of each key; 0 where none is."""
+        found = np.zeros(len(keys), np.uint8)
         left = np.arange(len(keys))
-        base = _part(keys, self.parts) * (self.bits // 8)
+        base = (_part(keys, self.parts) - self.first) * (self.bits // 8)
         flat = self.segments.reshape(-1)
         level = 1
         while len(left):
@@ -212,32 +221,53 @@ class Filter:
             level += 1
             if level > 62:
                 break
-        low = np.exp2(found - 1.0)
-        return np.where(found > 0, (low + 2 * low - 1) / 2, 0.0)
+        return found
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Estimated counts: the middle of the range of the last level that is there."""
+        return middles(self.found(keys))
 
     def scores(self, tokens: np.ndarray, rows: np.ndarray, mu: float = MU) -> np.ndarray:
         """log10 probability of each row."""
-        before, pair = bigrams(tokens, rows)
-        words, word_of = np.unique(tokens, return_inverse=True)
-        pairs, first, pair_of = np.unique(pair, return_index=True, return_inverse=True)
-        own = self.counts(words)
-        alone = (own + 1) / (self.total + self.distinct + 1)
-        history = np.searchsorted(words, before[first])
-        # the first context of a slice, the end, is a token of every row
-        context = own[history]
-        both = np.minimum(self.counts(pairs), context)
-        logs = np.log10((both + mu * alone[word_of[first]]) / (context + mu))
-        return np.add.reduceat(logs[pair_of], rows[:-1])
-
-
-def _built(ngrams: DataFrame, total: int, distinct: int) -> Filter:
-    """The filter of counted n-grams, segment by segment; at most MAX_BITS come to the driver."""
-
-    entries = ngrams.groupBy("part").agg(F.sum("entries").alias("n"))
-    number, most = entries.agg(F.max("part") + 1, F.max("n")).first()
-    if not number:
-        return Filter(np.zeros((1, 8), np.uint8), 0, 0)
-    bits = max(64, min(MAX_BITS // number, most * BITS_PER_ENTRY) // 64 * 64)
+        return log_scores(tokens, rows, self.counts, self.total, self.distinct, mu)
+
+
+def middles(found: np.ndarray) -> np.ndarray:
+    """The middle of the range of counts that each level names; 0 for no level."""
+    low = np.exp2(found.astype(np.float64) - 1.0)
+    return np.where(found > 0, (low + 2 * low - 1) / 2, 0.0)
+
+
+def log_scores(
+    tokens: np.ndarray,
+    rows: np.ndarray,
+    counts: Callable[[np.ndarray], np.ndarray],
+    total: int,
+    distinct: int,
+    mu: float = MU,
+) -> np.ndarray:
+    """log10 probability of each row; `counts` estimates those of distinct n-grams."""
+    before, pair = bigrams(tokens, rows)
+    words, word_of = np.unique(tokens, return_inverse=True)
+    pairs, first, pair_of = np.unique(pair, return_index=True, return_inverse=True)
+    own = counts(words)
+    alone = (own + 1) / (total + distinct + 1)
+    history = np.searchsorted(words, before[first])
+    # the first context of a slice, the end, is a token of every row
+    context = own[history]
+    both = np.minimum(counts(pairs), context)
+    logs = np.log10((both + mu * alone[word_of[first]]) / (context + mu))
+    return np.add.reduceat(logs[pair_of], rows[:-1])
+
+
+def _segment_bits(ngrams: DataFrame) -> int:
+    """Bits of a segment: those of the part with the most entries."""
+    most = ngrams.groupBy("part").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(64, most * BITS_PER_ENTRY // 64 * 64)
+
+
+def _segments(ngrams: DataFrame, bits: int) -> DataFrame:
+    """(part, bits): one segment per part and order; the rows of a part are joined by OR."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,12 +281,109 @@ def _built(ngrams: DataFrame, total: int, distinct: int) -> Filter:
                     ["part", "bits"],
                 )
 
-    segments = np.zeros((number, bits // 8), np.uint8)
-    # one segment per part and order: two rows of a part are joined by OR
-    packed = ngrams.select("part", "keys", "counts")
-    for row in packed.mapInArrow(build, "part int, bits binary").toLocalIterator():
-        segments[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
-    return Filter(segments, total, distinct)
+    return ngrams.select("part", "keys", "counts").mapInArrow(build, "part int, bits binary")
+
+
+def _loaded(segments: DataFrame, parts: int, bits: int, total: int, distinct: int) -> Filter:
+    """The whole filter, segment by segment, in the driver."""
+    out = np.zeros((parts, bits // 8), np.uint8)
+    for row in segments.toLocalIterator():
+        out[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
+    return Filter(out, total, distinct)
+
+
+def _chunk(rows: list[pa.RecordBatch], tokens: np.ndarray, number: int, parts: int, wide: int) -> pa.RecordBatch:
+    """The row of a chunk, then its n-grams by range: (chunk, range, data, words, codes)."""
+    words, codes = np.unique(tokens, return_inverse=True)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema) as out:
+        for batch in rows:
+            out.write_batch(batch)
+    keys = np.unique(np.concatenate((words, bigrams(tokens, np.zeros(0, np.int64))[1])))
+    ranges = _part(keys, parts) // wide
+    used, first = np.unique(ranges, return_index=True)
+    asked = [k.tobytes() for k in np.split(keys, first[1:])]
+    none = [None] * len(used)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([number] * (len(used) + 1)),
+            pa.array([-1, *used.tolist()], pa.int32()),
+            pa.array([sink.getvalue().to_pybytes(), *asked], pa.binary()),
+            pa.array([words.tobytes(), *none], pa.binary()),
+            pa.array([codes.astype(np.int32).tobytes(), *none], pa.binary()),
+        ],
+        ["chunk", "range", "data", "words", "codes"],
+    )
+
+
+def _probed(
+    asked: DataFrame, segments: DataFrame, parts: int, bits: int, total: int, distinct: int, schema: str
+) -> DataFrame:
+    """The rows of all chunks with their scores; a task holds the segments of one range."""
+    wide = max(1, RANGE_BITS // bits)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:3]]
+            for here, chunk, part, data in zip(*columns, batch.column(3), strict=True):
+                if here != now:
+                    now, held = here, np.zeros((wide, bits // 8), np.uint8)
+                if chunk < 0:
+                    held[part - here * wide] |= np.frombuffer(data.as_buffer(), np.uint8)
+                    continue
+                own = Filter(held, total, distinct, parts, here * wide)
+                found = own.found(np.frombuffer(data.as_buffer(), np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.array([here], pa.int32()), pa.array([found.tobytes()], pa.binary())],
+                    ["chunk", "range", "data"],
+                )
+
+    def finished(rows: tuple, levels: list[bytes]) -> Iterator[pa.RecordBatch]:
+        data, words, codes = rows
+        tokens = np.frombuffer(words, np.uint64)[np.frombuffer(codes, np.int32)]
+        whole = pa.ipc.open_stream(data).read_all().combine_chunks()
+        starts = np.concatenate(([0], np.cumsum(whole["n_tokens"].to_numpy())))
+        keys = np.unique(np.concatenate((np.unique(tokens), bigrams(tokens, starts)[1])))
+        found = np.frombuffer(b"".join(levels), np.uint8)
+
+        def counts(some: np.ndarray) -> np.ndarray:
+            return middles(found[np.searchsorted(keys, some)])
+
+        score = pa.array(log_scores(tokens, starts, counts, total, distinct))
+        yield from whole.set_column(whole.schema.get_field_index("score"), "score", score).to_batches()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, levels = None, []
+        for batch in batches:
+            for _, here, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here >= 0:
+                    levels.append(data[0])
+                    continue
+                if rows:
+                    yield from finished(rows, levels)
+                rows, levels = data, []
+        if rows:
+            yield from finished(rows, levels)
+
+    number = -(-parts // wide)
+    none, nothing = F.lit(-1).cast("long").alias("chunk"), F.lit(None).cast("binary")
+    held = segments.select((F.col("part") / wide).cast("int").alias("range"), none, "part", F.col("bits").alias("data"))
+    found = (
+        asked.filter("range >= 0")
+        .select("range", "chunk", F.lit(0).alias("part"), "data")
+        .unionByName(held)
+        .repartition(number, "range")
+        .sortWithinPartitions("range", "chunk", "part")
+        .mapInArrow(probe, "chunk long, range int, data binary")
+    )
+    return (
+        asked.filter("range < 0")
+        .unionByName(found.select("*", nothing.alias("words"), nothing.alias("codes")))
+        .repartition(parts, "chunk")
+        .sortWithinPartitions("chunk", "range")
+        .mapInArrow(gather, schema)
+    )
 
 
 def scored(
@@ -292,11 +419,15 @@ def scored(
     words = ngrams.filter("order = 1").select("keys", "counts").mapInArrow(spelled, "hash long, c long")
     words = materialize(words, f"{scratch}/words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = spark.sparkContext.broadcast(_built(ngrams, total, distinct))
+    bits = _segment_bits(ngrams)
+    segments = _segments(ngrams, bits)
+    small = parts * bits <= MAX_BITS
+    whole = _loaded(segments, parts, bits, total, distinct) if small else None
+    model = spark.sparkContext.broadcast(whole)
     top = words.orderBy(F.desc("c"), "hash").limit(HEAD).toArrow().sort_by("hash")
     head = spark.sparkContext.broadcast((top["hash"].to_numpy(), top["c"].to_numpy()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         number = TaskContext.get().partitionId() << 40
         known, known_counts = head.value
         for rows, data, offsets in slices(batches, "text"):
@@ -309,7 +440,8 @@ def scored(
             logs = np.where(hit, np.log10(counts + 1.0), 0.0)
             tails = np.concatenate(([0], np.cumsum(~hit)))[starts]
             rest = pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(signed[~hit]))
-            yield pa.RecordBatch.from_arrays(
+            score = whole.scores(tokens, starts) if (whole := model.value) else np.zeros(n)
+            batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(number + np.arange(n)),
                     rows.column(1),
@@ -317,20 +449,46 @@ def scored(
                     pa.array(np.diff(starts)),
                     pa.array(np.add.reduceat(hit.astype(np.int64), starts[:-1])),
                     pa.array(np.add.reduceat(logs, starts[:-1])),
-                    pa.array(model.value.scores(tokens, starts)),
+                    pa.array(score),
                     rest,
                 ],
                 ["rid", "id", "held_out", "n_tokens", "known", "logs", "score", "rest"],
             )
+            yield batch, tokens
             number += n
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _ in known_words(batches):
+            yield batch
+
+    wide = max(1, RANGE_BITS // bits)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        size = 0
+        for one in known_words(batches):
+            held.append(one)
+            size += len(one[1])
+            if size >= CHUNK_TOKENS:
+                yield _chunk([b for b, _ in held], np.concatenate([t for _, t in held]), number, parts, wide)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield _chunk([b for b, _ in held], np.concatenate([t for _, t in held]), number, parts, wide)
+
     source = _text(docs, F.col(id_col).alias("id"), apart.alias("held_out"), text_col=text_col)
     id_type = source.schema["id"].dataType.simpleString()
     schema = (
         f"rid long, id {id_type}, held_out boolean, n_tokens long, known long, logs double, "
         "score double, rest array<long>"
     )
-    found = materialize(source.mapInArrow(run, schema), f"{scratch}/scored")
+    if small:
+        found = source.mapInArrow(run, schema)
+    else:
+        asked = "chunk long, range int, data binary, words binary, codes binary"
+        asked = materialize(source.mapInArrow(ask, asked), f"{scratch}/asked")
+        found = _probed(asked, segments, parts, bits, total, distinct, schema)
+    found = materialize(found, f"{scratch}/scored")
     # words beyond the head: each is rare, so no key of this join is hot
     rare = found.select("rid", F.explode("rest").alias("hash")).join(words, "hash")
     added = rare.groupBy("rid").agg(

@@ -94,6 +94,16 @@ def test_rare_words_are_joined_exactly(docs, monkeypatch):
     assert whole == some
 
 
+def test_filters_beyond_the_broadcast_score_alike(docs, monkeypatch):
+    whole = sorted((str(r.doc_id), r.n_tokens, r.score) for r in bloom_lm.scored(docs).collect())
+    monkeypatch.setattr(bloom_lm, "MAX_BITS", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "RANGE_BITS", 1 << 17)
+    monkeypatch.setattr(bloom_lm, "CHUNK_TOKENS", 500)
+    some = sorted((str(r.doc_id), r.n_tokens, r.score) for r in bloom_lm.scored(docs).collect())
+    assert [r[:2] for r in some] == [r[:2] for r in whole]
+    assert np.allclose([r[2] for r in some], [r[2] for r in whole], rtol=1e-9)
+
+
 def test_filter_counts_are_in_their_range():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
