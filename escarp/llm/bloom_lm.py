@@ -103,10 +103,34 @@ def _text(docs: DataFrame, *columns: Column, text_col: str = "text") -> DataFram
     return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *columns)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal n-grams of each part and order added up, in 64 bits."""
+    held: dict[tuple[int, int], list[tuple]] = {}
+    for batch in batches:
+        for part, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            new = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+            own = held.setdefault((part, order), [])
+            own.append(new)
+            if len(own) >= 16:
+                held[part, order] = [_summed(*map(np.concatenate, zip(*own, strict=True)))]
+    for (part, order), own in held.items():
+        keys, counts = _summed(*map(np.concatenate, zip(*own, strict=True)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([part], pa.int32()),
+                pa.array([order], pa.int32()),
+                pa.array([int(levels(counts).sum())]),
+                pa.array([keys.tobytes()], pa.binary()),
+                pa.array([counts.tobytes()], pa.binary()),
+            ],
+            ["part", "order", "entries", "keys", "counts"],
+        )
+
+
 def count_ngrams(texts: DataFrame, parts: int) -> DataFrame:
     """(part, order, entries, keys, counts): n-grams of each part of the hash range.
 
-    Keys are ascending 64-bit hashes, counts 32-bit, levelled off at the largest; both packed.
+    Keys are ascending 64-bit hashes, counts 64-bit; both packed.
     `entries` is how many entries the filter gets from them.
     """
 
@@ -116,7 +140,7 @@ def count_ngrams(texts: DataFrame, parts: int) -> DataFrame:
         for part in range(parts):
             a, b = cuts[part], cuts[part + 1]
             if a < b:
-                yield [part, order, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()]
+                yield [part, order, keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()]
 
     def sent(held: list[list[tuple]]) -> pa.RecordBatch:
         rows = []
@@ -146,31 +170,9 @@ def count_ngrams(texts: DataFrame, parts: int) -> DataFrame:
         if size:
             yield sent(held)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple]] = {}
-        for batch in batches:
-            for part, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
-                own = held.setdefault((part, order), [])
-                own.append(new)
-                if len(own) >= 16:
-                    held[part, order] = [_summed(*map(np.concatenate, zip(*own, strict=True)))]
-        for (part, order), own in held.items():
-            keys, counts = _summed(*map(np.concatenate, zip(*own, strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()),
-                    pa.array([order], pa.int32()),
-                    pa.array([int(levels(counts).sum())]),
-                    pa.array([keys.tobytes()], pa.binary()),
-                    pa.array([np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary()),
-                ],
-                ["part", "order", "entries", "keys", "counts"],
-            )
-
     sent_as = "part int, order int, keys binary, counts binary"
     merged = "part int, order int, entries long, keys binary, counts binary"
-    return texts.mapInArrow(run, sent_as).repartition(parts, "part").mapInArrow(merge, merged)
+    return texts.mapInArrow(run, sent_as).repartition(parts, "part").mapInArrow(_merged, merged)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -274,7 +276,7 @@ def _segments(ngrams: DataFrame, bits: int) -> DataFrame:
             for part, keys, counts in zip(
                 batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True
             ):
-                pair = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32)
+                pair = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
                 segment = Filter.segment([pair], bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([segment.tobytes()], pa.binary())],
@@ -411,7 +413,7 @@ def scored(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.frombuffer(keys.as_buffer(), np.int64)),
-                        pa.array(np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)),
+                        pa.array(np.frombuffer(counts.as_buffer(), np.int64)),
                     ],
                     ["hash", "c"],
                 )

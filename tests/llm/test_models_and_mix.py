@@ -9,6 +9,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from escarp.llm import bloom_lm, mixing, quality, queries, secrets, toxicity
 from pyspark.sql import functions as F
@@ -104,6 +105,14 @@ def test_filters_beyond_the_broadcast_score_alike(docs, monkeypatch):
     assert np.allclose([r[2] for r in some], [r[2] for r in whole], rtol=1e-9)
 
 
+def test_counts_add_up_beyond_32_bits():
+    keys, counts = np.array([3, 9], np.uint64), np.array([(1 << 32) - 1, 5], np.int64)
+    row = [[0, 0], [1, 1], [keys.tobytes()] * 2, [counts.tobytes()] * 2]
+    (out,) = bloom_lm._merged([pa.RecordBatch.from_arrays([pa.array(c) for c in row], list("poxc"))])
+    assert np.frombuffer(out["counts"][0].as_py(), np.int64).tolist() == [(1 << 33) - 2, 10]
+    assert out["entries"].to_pylist() == [33 + 4]
+
+
 def test_filter_counts_are_in_their_range():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
