@@ -57,8 +57,8 @@ def _majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.ndarray:
-    """Fingerprint of each row from its shingles of `width` words, repeats included."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each shingle of `width` words, first shingle of each row); short rows are one shingle."""
     data = lowered(data)
     words = words_of(data, offsets)
     lengths = words.ends - words.starts
@@ -82,7 +82,12 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np
         np.uint64,
         len(row),
     )
-    return _majority(hashes, starts)
+    return hashes, starts
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.ndarray:
+    """Fingerprint of each row from its shingles of `width` words, repeats included."""
+    return _majority(*shingles_of(data, offsets, width))
 
 
 def fingerprinted(

@@ -3,10 +3,11 @@
 import hashlib
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from escarp.llm import cap_filters, exact_dedup, simhash
+from escarp.llm import cap_filters, exact_dedup, near_copies, simhash
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -98,6 +99,40 @@ def test_fingerprints_and_groups(docs, no_docs):
     assert simhash.grouped(no_docs).count() == 0
 
 
+def near_copy_rows():
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{n}" for n in rng.integers(0, 5000, 150)]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 3, 3, 5):
+            copy = list(base)
+            for at in rng.choice(150, changed, replace=False):
+                copy[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(copy))
+    chain = [f"c{n}" for n in range(200)]  # each a near copy of the next, the ends are far apart
+    texts += [" ".join(chain[at : at + 100]) for at in range(0, 100, 8)]
+    return list(enumerate(texts))
+
+
+def test_near_copies_down_to_the_least_similarity(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 3)
+    rows = near_copy_rows()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    of = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                of = [of[j] if c == of[i] else c for c in of]
+    first = {}
+    for i, c in enumerate(of):
+        first.setdefault(c, i)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "unused").collect())
+    assert got == sorted(first.values())
+    assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), "unused").count() == 0
+
+
 @pytest.mark.parametrize("budget", [1, 2, 3])
 def test_links_of_crowded_fingerprints(spark, budget):
     rng = np.random.default_rng(budget)
