@@ -133,6 +133,20 @@ def test_near_copies_down_to_the_least_similarity(spark, monkeypatch):
     assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), "unused").count() == 0
 
 
+def test_one_row_of_each_group_with_or_without_ids(spark):
+    one, two, three = (" ".join(f"{k}{n}" for n in range(150)) for k in "abc")
+    rows = [
+        (1, one, "s"), (2, one + " end", "s"), (2, two, "s"),  # unlike texts with one id
+        (None, two + " end", "s"), (None, three, "s"), (None, three + " end", "s"),
+        (3, "twice", "s"), (3, "twice", "s"), (3, "twice", "t"), (None, None, "s"), (4, "", "s"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, frame, "unused").collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in got) == [
+        ("1", "a0"), ("2", "b0"), ("3", "tw"), ("4", ""), ("None", "c0"),
+    ]
+
+
 @pytest.mark.parametrize("budget", [1, 2, 3])
 def test_links_of_crowded_fingerprints(spark, budget):
     rng = np.random.default_rng(budget)
