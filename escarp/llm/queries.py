@@ -1,4 +1,4 @@
-"""The ten queries of the operators and their comparison SQL."""
+"""The queries of the operators and their comparison SQL."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from escarp.llm import (
     byte_bpe,
     cap_filters,
     exact_dedup,
+    merkle,
     mixing,
     quality,
     secrets,
@@ -130,3 +131,12 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of embeddings with cosine 0.95 or more."""
     return cap_filters.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query(merkle.comparison_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document against the root of all; every fifth is tampered with."""
+    docs = read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle.proofs(docs, fields, "doc_id", "source", {"text": merkle.lowered_in_every_fifth()})
+    return found.withColumnRenamed("id", "doc_id")
