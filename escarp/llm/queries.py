@@ -18,6 +18,7 @@ from escarp.llm import (
     quality,
     secrets,
     simhash,
+    spelling,
     toxicity,
 )
 
@@ -133,6 +134,12 @@ def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, the form of each and the last form."""
+    return spelling.grouped(spelling.vocabulary(read(spark, sf_dir, "documents")))
+
+
 @query(merkle.comparison_sql())
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document against the root of all; every fifth is tampered with."""
