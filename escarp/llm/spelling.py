@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def _counts_of(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.Table
         {"word": pa.array(list(changed), pa.string()), "n": np.fromiter(changed.values(), np.int64, len(changed))}
     )
     both = pa.concat_tables([whole, cuts])
-    return both.filter(pa.compute.greater_equal(pa.compute.utf8_length(both["word"]), SHORTEST))
+    return both.filter(pc.greater_equal(pc.utf8_length(both["word"]), SHORTEST))
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
