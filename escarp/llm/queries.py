@@ -19,6 +19,7 @@ from escarp.llm import (
     secrets,
     simhash,
     spelling,
+    substrings,
     toxicity,
 )
 
@@ -140,6 +141,29 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(spelling.vocabulary(read(spark, sf_dir, "documents")))
 
 
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+    q AS (SELECT doc_id, i, w[i] AS word,
+        CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS passage FROM p),
+    r AS (SELECT doc_id, i, word, CASE WHEN passage IS NULL THEN 0
+        WHEN row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS again FROM q),
+    s AS (SELECT doc_id, i, word, max(again) OVER
+        (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+    k AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM s GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """
+)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 20 words that also start earlier."""
+    found = substrings.deduplicated(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 @query(merkle.comparison_sql())
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document against the root of all; every fifth is tampered with."""
