@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from escarp.llm.texts import chunk_ids, chunks_of, gathered, slices
 
 #: Chunk spellings whose ids a Python worker keeps; emptied when full, so its memory is bounded.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -13,7 +13,8 @@ of a group: a node of depth d meets at most 1 + d + d(d-1)/2 others (d counted f
 the walk), however many fingerprints share a prefix, and copies are one leaf.
 
 Groups are the connected components of the links. Every document gets its row; NULL and empty
-texts have fingerprint zero; equal ids and repeated rows each keep their row.
+texts have fingerprint zero; equal ids and repeated rows each keep their row; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from escarp.llm.exact_dedup import located
 from escarp.llm.texts import gathered, lowered, slices, words_of
 from escarp.operators.components import connected_nodes
 from escarp.session import materialize, scratch_dir
@@ -199,11 +201,19 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents whose id names their component, one row each: of rows with that id and one
-    fingerprint any one stays. Documents without an id stay."""
-    scratch = scratch_dir(docs.sparkSession)
-    groups = materialize(grouped(docs, id_col, text_col), f"{scratch}/groups")
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    return known.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2
+) -> DataFrame:
+    """One row of each component: that of the smallest id, rows without an id last, of equal ids the
+    one that comes first in the table."""
+    scan, locator = located(docs, scratch_dir(docs.sparkSession))
+    at_col = "at"
+    while at_col in docs.columns:
+        at_col += "_"
+    own = F.col(f"`{id_col}`")
+    key = F.struct(own.isNull().alias("unnamed"), own.alias("id"), locator.alias("at"))
+    text = F.col(f"`{text_col}`").alias("text")
+    groups = grouped(scan.select(key.alias("key"), text), "key", "text", budget)
+    dropped = groups.filter(F.col("key") != F.col("component_id")).select(F.col("key.at").alias(at_col))
+    kept = scan.withColumn(at_col, locator).join(dropped, at_col, "left_anti")
+    return kept.select(*[f"`{c}`" for c in docs.columns])

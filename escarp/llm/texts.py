@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 #: Fixed value: a word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -3,11 +3,10 @@
 import hashlib
 import re
 
-import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from escarp.llm import cap_filters, exact_dedup, near_copies, simhash
+from escarp.llm import cap_filters, exact_dedup, simhash
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,56 +94,28 @@ def test_fingerprints_and_groups(docs, no_docs):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(least.values()))
-    assert ids.count(None) == 2
+    assert ids.count(None) == len(set(of)) - len(least)
     assert simhash.grouped(no_docs).count() == 0
 
 
-def near_copy_rows():
-    rng = np.random.default_rng(8)
-    texts = []
-    for _ in range(12):
-        base = [f"w{n}" for n in rng.integers(0, 5000, 150)]
-        texts.append(" ".join(base))
-        for changed in (1, 2, 3, 3, 5):
-            copy = list(base)
-            for at in rng.choice(150, changed, replace=False):
-                copy[at] = f"x{rng.integers(0, 5000)}"
-            texts.append(" ".join(copy))
-    chain = [f"c{n}" for n in range(200)]  # each a near copy of the next, the ends are far apart
-    texts += [" ".join(chain[at : at + 100]) for at in range(0, 100, 8)]
-    return list(enumerate(texts))
-
-
-def test_near_copies_down_to_the_least_similarity(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "CHUNK", 3)
-    rows = near_copy_rows()
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    of = list(range(len(rows)))
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets[:i]):
-            if len(x & y) >= 0.8 * len(x | y):
-                of = [of[j] if c == of[i] else c for c in of]
-    first = {}
-    for i, c in enumerate(of):
-        first.setdefault(c, i)
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "unused").collect())
-    assert got == sorted(first.values())
-    assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), "unused").count() == 0
-
-
 def test_one_row_of_each_group_with_or_without_ids(spark):
-    one, two, three = (" ".join(f"{k}{n}" for n in range(150)) for k in "abc")
+    one, two, three = ("a b c " * 100, "d e f " * 100, "g h i " * 100)  # one more word changes no bit
     rows = [
-        (1, one, "s"), (2, one + " end", "s"), (2, two, "s"),  # unlike texts with one id
-        (None, two + " end", "s"), (None, three, "s"), (None, three + " end", "s"),
+        (1, one, "s"), (2, one + "end", "s"), (2, two, "s"),  # unlike texts with one id
+        (None, two, "s"), (None, three, "s"), (None, three + "end", "s"),
         (3, "twice", "s"), (3, "twice", "s"), (3, "twice", "t"), (None, None, "s"), (4, "", "s"),
     ]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = corpus_pipeline.drop_near_copies(spark, frame, "unused").collect()
-    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in got) == [
-        ("1", "a0"), ("2", "b0"), ("3", "tw"), ("4", ""), ("None", "c0"),
-    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, at string").repartition(3)
+    linked = [
+        (i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[:i]) if (fingerprint(a[1]) ^ fingerprint(b[1])).bit_count() <= 2
+    ]
+    of = components(len(rows), linked)
+    least = {}
+    for (doc_id, _, _), c in sorted(zip(rows, of, strict=True), key=lambda r: (r[0][0] is None, r[0][0] or 0)):
+        least.setdefault(c, doc_id)
+    got = simhash.one_of_each_group(frame).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, least.values()))
+    assert {r["at"] for r in got} <= {"s", "t"}
 
 
 @pytest.mark.parametrize("budget", [1, 2, 3])
