@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from escarp.llm import exact_dedup, mixing, near_copies, queries, toxicity
+from escarp.llm import exact_dedup, mixing, queries, simhash, toxicity
 from escarp.session import materialize, scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by Jaccard >= 0.8 of five-word shingles the row with the smallest id."""
-    return near_copies.one_of_each_group(docs)
+    """Of documents whose fingerprints (three-word shingles) are linked at 2 bits that of the smallest id."""
+    return simhash.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
