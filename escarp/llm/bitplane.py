@@ -25,25 +25,27 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from escarp.llm.texts import chunk_ids, chunks_of, slices
+from escarp.llm.texts import AFTER_BLANK, chunks_of, gathered, slices, text_bytes
 from escarp.session import materialize, scratch_dir
 
 MAGIC = b"BPLANE1\n"
 CHUNK_IDS = 1 << 16
 #: Text of one file: with some 2.5 characters an id, a file holds about ten million ids.
 FILE_CHARS = 24 << 20
-#: Chunk spellings whose ids a Python worker keeps; emptied when full.
-CACHE_ENTRIES = 500_000
+#: Bytes of chunk spellings and their ids that a Python worker keeps; emptied when full.
+CACHE_BYTES = 24 << 20
+#: Text of chunks that are encoded in one call.
+JOINED_BYTES = 1 << 16
 
 
 def to_planes(ids: np.ndarray, planes: int, bits: int) -> list[bytes]:
@@ -161,16 +163,19 @@ class Reader:
 
 
 class _Encoder:
-    """The tokenizers library behind a cache of chunk spellings; one per Python worker."""
+    """The tokenizers library behind a table of chunk spellings; one per Python worker.
 
-    def __init__(self, path: str):
-        self.path = path
+    Chunks that are not known yet are encoded many at a time: each begins with a blank before a
+    visible character, where pre-tokenization has a border, so one after another they stay apart, and
+    the widths of the ids tell which belong to which.
+    """
+
+    def __init__(self, content: str):
+        self.content = content
         self.tokenizer = None
-        self.known: dict[bytes, bytes] = {}
-        self.special: list[bytes] = []
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "tokenizer": None, "known": {}, "special": []}
+        return {"content": self.content, "tokenizer": None}
 
     def _load(self) -> None:
         import os
@@ -178,13 +183,68 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer = Tokenizer.from_str(self.content)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [token.content.encode() for token in added]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        # in a byte-level vocabulary each character stands for a byte
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.widths[number] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in found)]
+        return [np.array(one.ids, np.uint32) for one in found]
+
+    def _together(self, data: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(ids, number of ids of each chunk) of chunks that lie one after another in `data`."""
+        out, counts = [], []
+        cuts = np.unique(np.searchsorted(ends, np.arange(JOINED_BYTES, int(ends[-1]), JOINED_BYTES)))
+        cuts = np.unique(np.concatenate(([0], cuts + 1, [len(ends)])))
+        bounds = np.concatenate(([0], ends))
+        texts = [data[bounds[a] : bounds[b]].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for ids, a, b in zip(self._encode(texts), cuts[:-1], cuts[1:], strict=True):
+            reached = np.cumsum(self.widths[ids])
+            wanted = ends[a:b] - bounds[a]
+            at = np.searchsorted(reached, wanted)
+            if len(reached) != at[-1] + 1 or not (reached[at] == wanted).all():
+                # not the byte-level vocabulary that is expected: chunk by chunk
+                pieces = [data[x:y].tobytes().decode() for x, y in zip(bounds[a:b], ends[a:b], strict=True)]
+                apart = self._encode(pieces)
+                out += apart
+                counts.append(np.array([len(one) for one in apart], np.int64))
+                continue
+            out.append(ids)
+            counts.append(np.diff(np.concatenate(([-1], at))))
+        return out, np.concatenate(counts)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Add chunks and their ids to the table."""
+        data, offsets = text_bytes(new)
+        sizes = np.diff(offsets)
+        some = np.flatnonzero(sizes > 1)
+        blank = some[(data[offsets[some]] == 0x20) & AFTER_BLANK[data[offsets[some] + 1]]]
+        counts = np.zeros(len(new), np.int64)
+        flat: list[np.ndarray] = []
+        if len(blank):
+            joined = gathered(data, offsets[blank], sizes[blank])
+            flat, counts[blank] = self._together(joined, np.cumsum(sizes[blank]))
+        others = np.setdiff1d(np.arange(len(new)), blank, assume_unique=True)
+        apart = self._encode([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in others])
+        counts[others] = [len(one) for one in apart]
+        order = np.concatenate((blank, others))
+        starts = np.empty(len(new), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate([self.flat, *flat, *apart])
+        self.starts = np.concatenate((self.starts, starts))
+        self.sizes = np.concatenate((self.sizes, counts))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row starts).
@@ -197,16 +257,25 @@ class _Encoder:
         text = data.tobytes()
         if any(token in text for token in self.special):
             rows = [text[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            packed = self._encode(rows)
-            starts = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
-            return np.frombuffer(b"".join(packed), "<u4"), starts
+            encoded = self._encode(rows)
+            starts = np.concatenate(([0], np.cumsum([len(one) for one in encoded])))
+            return np.concatenate([np.zeros(0, np.uint32), *encoded]), starts
         found = chunks_of(data, offsets)
-        spellings = found.spellings.to_pylist()
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        new = [c for c in spellings if c not in self.known]
-        self.known.update(zip(new, self._encode([c.decode() for c in new]), strict=True))
-        return chunk_ids(found, [self.known[c] for c in spellings])
+        if self.known.nbytes + self.flat.nbytes > CACHE_BYTES:
+            self._forget()
+        at = pc.index_in(found.spellings, value_set=self.known)
+        new = found.spellings.filter(at.is_null())
+        if len(new):
+            before = len(self.known)
+            self._learn(new)
+            at = at.fill_null(-1).to_numpy().astype(np.int64)
+            at[at < 0] = before + np.arange(len(new))
+        else:
+            at = at.to_numpy().astype(np.int64)
+        each = at[found.codes]
+        lengths = self.sizes[each]
+        ids = gathered(self.flat, self.starts[each], lengths)
+        return ids, np.concatenate(([0], np.cumsum(lengths)))[found.rows]
 
 
 def write_files(
@@ -218,13 +287,17 @@ def write_files(
     bits: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    file_chars: int = FILE_CHARS,
 ) -> DataFrame:
     """Encode and write; returns one row per document: file, place in it, id. The rows are kept
-    as a table beside the files, in the shared folder."""
+    as a table beside the files, in the shared folder. `file_chars` is the text of a file: a large
+    input wants larger files, as each is a partition of one shuffle."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("tie", F.monotonically_increasing_id())
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    encoder = spark.sparkContext.broadcast(_Encoder(tokenizer_file))
+    with open(tokenizer_file, encoding="utf-8") as content:
+        encoder = spark.sparkContext.broadcast(_Encoder(content.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -256,11 +329,11 @@ def write_files(
             writer.close()
             out.close()
 
-    # the hash splits the rows of a hot id, NULL for one, over files
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    # the hash and the place in the table split the rows of a hot id, NULL for one, over files
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
     id_type = source.schema["id"].dataType.simpleString()
     written = (
-        source.repartitionByRange(max(1, -(-chars // FILE_CHARS)), *order)
+        source.repartitionByRange(max(1, -(-chars // file_chars)), *order)
         .sortWithinPartitions(*order)
         .mapInArrow(run, f"part long, file string, place long, id {id_type}")
     )

@@ -5,10 +5,10 @@ parts, each part has its own small random code, and a direction is one code word
 vector belongs to every direction whose inner product with it reaches a threshold. These are found
 by list decoding: partial sums over the first parts are kept only while the best words of the rest
 can still lift them over the threshold. Vectors that share a direction are compared exactly, in
-double precision. The number of directions follows the number of vectors, so that a direction
-holds about BUCKET vectors by chance, and a vector has about LIST directions in each of TABLES
-independent codes. How many it has differs from vector to vector, which is why several small codes
-find more than a large one: a random pair at the least cosine, 0.95, is missed once in some thousand.
+double precision. The threshold follows the number of vectors, so that a direction holds about
+BUCKET of them by chance; the number of directions follows from the exact chance that a pair at the
+least cosine shares one. A vector without any direction gets its best one. How many it has differs
+from vector to vector, which is why several small codes find more than a large one.
 
 Copies of one vector are one row while comparing. A direction with many vectors (a group of
 near-copies may hold a third of all) is cut into chunks, and pairs of chunks are tasks of their own,
@@ -23,7 +23,6 @@ id is reachable but never the smallest; repeated rows link with each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,44 +33,83 @@ from pyspark.sql import types as T
 from escarp.operators.components import connected_nodes
 from escarp.session import materialize, scratch_dir
 
-BLOCKS, TABLES = 2, 4
-#: Expected directions of a vector in a code, vectors in a direction, and vectors of a chunk.
-LIST, BUCKET, CHUNK = 16.0, 256.0, 512
+BLOCKS, TABLES = 2, 8
+#: Vectors in a direction by chance, and vectors of a chunk.
+BUCKET, CHUNK = 256.0, 512
+#: Directions that a pair at exactly the least cosine shares on average, over all tables.
+SHARED = 18.0
+#: Least dimensions of a code of several parts.
+SPLIT_DIM = 6
+_STEPS = 20_000
 SEED = 11
 
 
+def cap_share(t: float, dim: int, turn: float = 0.0) -> float:
+    """Share of the sphere whose inner product with each of two unit vectors, `turn` radians apart, is
+    at least t > 0. In their plane a random direction has a uniform angle and, by the law of its
+    squared length, reaches r with probability (1 - r^2)^((dim - 2) / 2)."""
+    widest = np.arccos(t) - turn / 2
+    if widest <= 0:
+        return 0.0
+    angles = (np.arange(_STEPS) + 0.5) / _STEPS * widest + turn / 2
+    reach = np.clip(1 - (t / np.cos(angles)) ** 2, 0, None)
+    return float(np.mean(reach ** ((dim - 2) / 2)) * widest / np.pi)
+
+
+def cap_height(share: float, dim: int, most: float) -> float:
+    """The inner product that this share of the sphere reaches, `most` at most."""
+    low, high = 1e-9, most
+    if cap_share(most, dim) >= share:
+        return most
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if cap_share(middle, dim) > share else (low, middle)
+    return low
+
+
 class CapCode:
-    """Random product code for vectors of one length; `table` tells independent codes apart."""
+    """Random product code for vectors of one length; `table` tells independent codes apart.
+
+    The threshold is the inner product at which a direction holds about BUCKET vectors, and `least` at
+    most: a wider cap than the search asks for is of no use, however many vectors it holds. The number
+    of directions makes a pair at exactly `least` share SHARED of them over all tables.
+    Below SPLIT_DIM dimensions parts would be too short to differ, and the code is a plain one.
+    """
 
-    def __init__(self, dim: int, vectors: int, table: int = 0, seed: int = SEED):
+    def __init__(self, dim: int, vectors: int, table: int = 0, least: float = 0.95, seed: int = SEED):
         rng = np.random.default_rng([seed, dim, table])
         self.table = table
-        share = min(0.02, max(BUCKET / max(vectors, 1), 1e-9))
-        self.words = max(2, round((LIST / share) ** (1 / BLOCKS)))
+        self.blocks = BLOCKS if dim >= SPLIT_DIM else 1
+        self.cuts = [dim * b // self.blocks for b in range(self.blocks + 1)]
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.cuts = [dim * b // BLOCKS for b in range(BLOCKS + 1)]
+        if dim == 1:
+            self.words, self.threshold, self.codes = 2, 0.5, [np.array([[1.0], [-1.0]])]
+            return
+        share = min(0.02, max(BUCKET / max(vectors, 1), 1e-12))
+        self.threshold = cap_height(share, dim, least)
+        both = cap_share(self.threshold, dim, float(np.arccos(least)))
+        self.words = max(2, int(np.ceil((SHARED / TABLES / both) ** (1 / self.blocks))))
         self.codes = []
         for a, b in zip(self.cuts, self.cuts[1:], strict=False):
-            code = rng.standard_normal((self.words, b - a)) if b > a else np.zeros((self.words, 0))
+            code = rng.standard_normal((self.words, b - a))
             norms = np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-12)
             self.codes.append(code / norms * np.sqrt((b - a) / dim))
-        # the inner product with a random direction has a spread of 1 / sqrt(dim)
-        actual = min(0.5, LIST / self.words**BLOCKS)
-        self.threshold = NormalDist().inv_cdf(1 - actual) / np.sqrt(dim)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, direction) of all directions that reach the threshold."""
+        """(row, direction) of all directions that reach the threshold, the best one if none does."""
         turned = unit @ self.rotation
         parts = [
             turned[:, a:b] @ code.T
             for a, b, code in zip(self.cuts, self.cuts[1:], self.codes, strict=False)
         ]
         best = np.cumsum([p.max(axis=1) for p in parts[::-1]], axis=0)[::-1]
+        threshold = np.minimum(self.threshold, best[0])
         rows, names, sums = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
         for b, part in enumerate(parts):
-            rest = best[b + 1] if b + 1 < BLOCKS else np.zeros(len(unit))
+            rest = best[b + 1] if b + 1 < self.blocks else np.zeros(len(unit))
             total = sums[:, None] + part[rows]
-            keep, word = np.nonzero(total >= self.threshold - rest[rows][:, None])
+            # a hair of slack: the best direction is summed in another order
+            keep, word = np.nonzero(total >= (threshold - rest - 1e-12)[rows][:, None])
             rows, names, sums = rows[keep], names[keep] * self.words + word, total[keep, word]
         return rows, names * TABLES + self.table
 
@@ -216,7 +254,7 @@ def near_duplicates(
     distinct = materialize(distinct, f"{scratch}/distinct")
     sizes = {r["dim"]: r["count"] for r in distinct.groupBy(F.size("vector").alias("dim")).count().collect()}
     codes = spark.sparkContext.broadcast(
-        {dim: [CapCode(dim, n, table) for table in range(TABLES)] for dim, n in sizes.items()}
+        {dim: [CapCode(dim, n, table, least) for table in range(TABLES)] for dim, n in sizes.items()}
     )
     kind = "<f4" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "<f8"
 

@@ -118,9 +118,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 #: Bytes that follow a blank at which a text may be cut: printable ASCII and the first bytes of
 #: U+00C0 to U+027F. None of them begins white space in any library's sense.
-_AFTER_BLANK = np.zeros(256, bool)
-_AFTER_BLANK[0x21:0x7F] = True
-_AFTER_BLANK[0xC3:0xCA] = True
+AFTER_BLANK = np.zeros(256, bool)
+AFTER_BLANK[0x21:0x7F] = True
+AFTER_BLANK[0xC3:0xCA] = True
 
 
 class Chunks(NamedTuple):
@@ -139,7 +139,7 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     """
     data = np.ascontiguousarray(data)
     cut = np.zeros(len(data) + 1, bool)
-    cut[:-2] = (data[:-1] == 0x20) & _AFTER_BLANK[data[1:]]
+    cut[:-2] = (data[:-1] == 0x20) & AFTER_BLANK[data[1:]]
     cut[np.maximum(offsets[1:-1] - 1, 0)] &= False
     cut[offsets] = True
     bounds = np.flatnonzero(cut)
