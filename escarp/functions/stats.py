@@ -1,8 +1,10 @@
 """Exact ranks, percentiles and samples that never put a whole group into one task.
 
-A plain `row_number` or `percentile` sends each group to one task. Here a group is first cut
-into equal-width bins of its sort key. Bin counts are small, so their running totals give each
-bin its offset, and only rows of one bin meet in one task.
+A plain `row_number` or `percentile` sends each group to one task. Here rows are dealt out by ranges
+of (group, key), whose borders Spark measures on the rows themselves: however unevenly groups and keys
+are spread, ranges are of nearly equal size. A row's rank is its place in its range plus the rows of its
+group in earlier ranges, of which there is one count for each range and group. Samples cut groups into
+bins of a pseudo-random draw, which is even by itself.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from escarp.session import materialize, scratch_dir
+
 N_BINS = 4096
-BIN_ROWS = 4096
 PRIME = 2147483647
 
 
@@ -31,9 +34,9 @@ def mix(seed: Column | int, *parts: Column) -> Column:
     return ((square * square) % PRIME * h % PRIME).cast("bigint")
 
 
-def _bin_of(key: Column, low: Column, high: Column, n_bins: Column) -> Column:
-    share = F.try_divide(key.cast("double") - low, high - low)
-    return F.least(F.coalesce(F.floor(share * n_bins), F.lit(0).cast("bigint")), n_bins - 1)
+def wide_mix(seed: int, *parts: Column) -> Column:
+    """Pseudo-random integer in [0, PRIME * PRIME), which is 62 bits: two draws of `mix`."""
+    return mix(seed, *parts) * PRIME + mix(seed + 1, *parts)
 
 
 def _running(groups: Sequence[str], weight: str) -> Column:
@@ -41,44 +44,39 @@ def _running(groups: Sequence[str], weight: str) -> Column:
     return F.coalesce(F.sum(weight).over(window), F.lit(0))
 
 
+def _group(groups: Sequence[str]) -> Column:
+    """The group as one value; inside a struct NULL equals NULL."""
+    return F.struct(F.lit(0).alias("all"), *[F.col(g) for g in groups])
+
+
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with `_group`, sorted by it and `order` in ranges of nearly equal size, written once.
+
+    `_bin` is the number of the range, `_row_at` grows with the row's place in it by one.
+    """
+    keys = ["_group", *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = placed.withColumn("_row_at", F.monotonically_increasing_id())
+    placed = materialize(placed, f"{scratch_dir(df.sparkSession)}/ranges")
+    return placed.withColumn("_bin", F.shiftright("_row_at", 33))
+
+
 def with_ordinal(
-    df: DataFrame,
-    groups: Sequence[str],
-    key: str,
-    ties: Sequence[str],
-    out: str = "ordinal",
-    key_range: tuple[float, float] | None = None,
-    n_bins: int = N_BINS,
+    df: DataFrame, groups: Sequence[str], key: str, ties: Sequence[str], out: str = "ordinal"
 ) -> DataFrame:
     """0-based position of each row in its group, ordered by (key, ties).
 
-    `key` is numeric and spread out (an id or a hash); give `key_range` when its range is known.
+    Any key that can be sorted will do. Ties should tell the rows of one key apart: rows that agree in
+    both stay in one range and get their places in any order. A NULL group is a group like any other.
     """
-    groups = list(groups)
-    bins = F.lit(n_bins).cast("bigint")
-    if key_range is not None:
-        low, high = (F.lit(float(v)) for v in key_range)
-        binned = df.withColumn("_bin", _bin_of(F.col(key), low, high, bins))
-    else:
-        stats = df.groupBy(*groups).agg(
-            F.min(key).cast("double").alias("_low"), F.max(key).cast("double").alias("_high")
-        )
-        # without groups the range is one row
-        ranged = df.join(stats, groups) if groups else df.join(F.broadcast(stats))
-        binned = ranged.withColumn(
-            "_bin", _bin_of(F.col(key), F.col("_low"), F.col("_high"), bins)
-        ).drop("_low", "_high")
-    offsets = (
-        binned.groupBy(*groups, "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", _running(groups, "_n"))
-        .drop("_n")
-    )
-    in_bin = W.partitionBy(*groups, "_bin").orderBy(key, *ties)
+    grouped = df.withColumn("_group", _group(groups))
+    placed = _ranged(grouped, list(dict.fromkeys([key, *ties])))
+    spans = placed.groupBy("_group", "_bin").agg(F.min("_row_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    spans = spans.select("_group", "_bin", (_running(["_group"], "_n") - F.col("_low")).alias("_shift"))
     return (
-        binned.join(offsets, [*groups, "_bin"])
-        .withColumn(out, F.col("_offset") + F.row_number().over(in_bin) - 1)
-        .drop("_bin", "_offset")
+        placed.join(spans, ["_group", "_bin"])
+        .withColumn(out, F.col("_row_at") + F.col("_shift"))
+        .drop("_group", "_bin", "_row_at", "_shift")
     )
 
 
@@ -97,11 +95,9 @@ def sample_per_group(
     which bins of a group are needed; rows meet them by group and bin, so a hot group is spread
     over its bins, and rows of other bins are dropped. NULL groups are groups like any other.
     """
-    # inside a struct NULL equals NULL
-    group = F.struct(F.lit(0).alias("all"), *[F.col(g) for g in groups])
     limit = F.col(size) if isinstance(size, str) else F.lit(size)
     keyed = df.withColumn("_draw", mix(seed, *[F.col(c) for c in identity])).withColumns(
-        {"_bin": F.floor(F.col("_draw") * n_bins / PRIME), "_group": group}
+        {"_bin": F.floor(F.col("_draw") * n_bins / PRIME), "_group": _group(groups)}
     )
     needed = (
         keyed.groupBy("_group", "_bin")
@@ -120,54 +116,38 @@ def sample_per_group(
 
 
 def percentiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    percents: Sequence[float],
-    n_bins: int = N_BINS,
+    df: DataFrame, groups: Sequence[str], value: str, percents: Sequence[float]
 ) -> DataFrame:
-    """Exact interpolated percentiles as rows (groups, percent, value); NULL and NaN skipped."""
-    groups = list(groups)
+    """Exact interpolated percentiles as rows (groups, percent, value); NULL and NaN skipped.
+
+    Equal values of a group are counted first, so a frequent value is one row with a weight. A NULL
+    group is a group like any other.
+    """
     number = F.col(value).cast("double")
-    # NULL groups would fall out of the joins below; out here, all uses of `counted` are one plan
     usable = number.isNotNull() & ~F.isnan(number)
-    for group in groups:
-        usable &= F.col(group).isNotNull()
-    counted = (
-        df.filter(usable)
-        .groupBy(*groups, number.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    stats = counted.groupBy(*groups).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_w").alias("_total")
-    )
-    # as many bins as the group needs: small groups have one
-    bins = F.least(F.ceil(F.col("_total") / BIN_ROWS), F.lit(n_bins).cast("bigint"))
-    binned = counted.join(stats, groups).withColumn(
-        "_bin", _bin_of(F.col("_v"), F.col("_low"), F.col("_high"), bins)
-    )
+    counted = df.filter(usable).groupBy(_group(groups).alias("_group"), number.alias("_v"))
+    placed = _ranged(counted.agg(F.count(F.lit(1)).alias("_w")), ["_v"])
+    totals = F.sum("_n").over(W.partitionBy("_group"))
     bins = (
-        binned.groupBy(*groups, "_bin", "_total")
+        placed.groupBy("_group", "_bin")
         .agg(F.sum("_w").alias("_n"))
-        .withColumn("_offset", _running(groups, "_n"))
+        .withColumns({"_offset": _running(["_group"], "_n"), "_total": totals})
     )
     targets = F.explode(F.array(*[F.lit(float(p)) for p in percents]))
-    position = F.col("percent") / 100 * (F.col("_total") - 1)
     wanted = (
         bins.withColumn("percent", targets)
-        .withColumn("_position", position)
+        .withColumn("_position", F.col("percent") / 100 * (F.col("_total") - 1))
         .withColumn("_rank", F.explode(F.array(F.floor("_position"), F.ceil("_position"))))
         .filter(
             (F.col("_rank") >= F.col("_offset"))
             & (F.col("_rank") < F.col("_offset") + F.col("_n"))
         )
-        .groupBy(*groups, "_bin", "_offset")
+        .groupBy("_group", "_bin", "_offset")
         .agg(F.collect_set(F.struct("percent", "_position", "_rank")).alias("_ranks"))
     )
-    through = W.partitionBy(*groups, "_bin").orderBy("_v")
+    through = W.partitionBy("_group", "_bin").orderBy("_v")
     hits = (
-        binned.drop("_low", "_high", "_total")
-        .join(wanted, [*groups, "_bin"])
+        placed.join(wanted, ["_group", "_bin"])
         .withColumn("_end", F.col("_offset") + F.sum("_w").over(through))
         .withColumn(
             "_hit",
@@ -179,8 +159,9 @@ def percentiles(
                 )
             ),
         )
-        .select(*groups, "_v", "_hit.*")
+        .select("_group", "_v", "_hit.*")
     )
     share = F.max(F.col("_position") - F.floor("_position"))
     low, high = F.min("_v"), F.max("_v")
-    return hits.groupBy(*groups, "percent").agg((low + (high - low) * share).alias(value))
+    found = hits.groupBy("_group", "percent").agg((low + (high - low) * share).alias(value))
+    return found.select(*[F.col("_group")[g].alias(g) for g in groups], "percent", value)

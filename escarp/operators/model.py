@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from escarp.functions.stats import PRIME, mix, with_ordinal
+from escarp.functions.stats import PRIME, mix, wide_mix, with_ordinal
 from escarp.session import materialize, scratch_dir
 
 TREE_MODELS = ("tree", "forest", "gbt")
@@ -98,7 +98,7 @@ def oversample(
     draws = blocks.withColumn("copy", F.explode(F.sequence(first, last))).select(
         "class",
         "copy",
-        F.pmod(mix(F.lit(seed), F.col("class"), F.col("copy")), F.col("_n")).alias("_at"),
+        F.pmod(wide_mix(seed, F.col("class"), F.col("copy")), F.col("_n")).alias("_at"),
     )
     placed = with_ordinal(classed, ["class"], identity, [], "_at")
     repeats = placed.join(draws, ["class", "_at"]).drop("_at")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escarp import config
-from escarp.functions.stats import PRIME, mix, sample_per_group, with_ordinal
+from escarp.functions.stats import mix, sample_per_group, with_ordinal
 
 
 def sample_size_by_area(area_m2: Column, n_scenes: Column, share: float) -> Column:
@@ -176,7 +176,7 @@ def batches(
     keyed = repeated.withColumn(
         "_draw", mix(F.lit(seed), F.col("epoch"), *[F.col(c) for c in identity])
     )
-    placed = with_ordinal(keyed, ["epoch"], "_draw", identity, "position", (0, PRIME))
+    placed = with_ordinal(keyed, ["epoch"], "_draw", identity, "position")
     return placed.drop("_draw").withColumn("batch", F.floor(F.col("position") / batch_size))
 
 

@@ -161,7 +161,8 @@ draws AS (SELECT class, n, unnest(range(1, (SELECT max(n) FROM sizes) - n + 1))
 SELECT o_orderkey, class, CAST(0 AS BIGINT) AS copy FROM classed
 UNION ALL
 SELECT p.o_orderkey, d.class, d.copy FROM draws d JOIN placed p
-  ON p.class = d.class AND p.at = {mix_sql("0", "d.class", "d.copy")} % d.n"""
+  ON p.class = d.class AND p.at =
+    ({mix_sql("0", "d.class", "d.copy")} * 2147483647 + {mix_sql("1", "d.class", "d.copy")}) % d.n"""
 )
 def balanced_classes(spark, sf_dir):
     """Rows of small classes repeated until all classes are as large as the largest."""

@@ -18,10 +18,20 @@ def rows(spark):
     return spark.createDataFrame(data, "g string, id long, v double, k long").cache()
 
 
-@pytest.mark.parametrize("n_bins", [1, 7, 4096])
-def test_percentiles(rows, n_bins, monkeypatch):
-    monkeypatch.setattr(stats, "BIN_ROWS", 10)
-    got = stats.percentiles(rows, ["g"], "v", [0, 10, 37.5, 50, 90, 100], n_bins).collect()
+@pytest.fixture(params=[1, 7, 64])
+def ranges(spark, request):
+    """Ranges as they are cut on a cluster: many small ones, which AQE does not merge."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, (str(request.param), "false")):
+        spark.conf.set(name, value)
+    yield request.param
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def test_percentiles(rows, ranges):
+    got = stats.percentiles(rows, ["g"], "v", [0, 10, 37.5, 50, 90, 100]).collect()
     values = {}
     for r in rows.collect():
         if r["v"] is not None and not np.isnan(r["v"]):
@@ -31,9 +41,8 @@ def test_percentiles(rows, n_bins, monkeypatch):
         assert r["v"] == pytest.approx(np.percentile(values[r["g"]], r["percent"]), abs=1e-12)
 
 
-@pytest.mark.parametrize("n_bins", [1, 16, 4096])
-def test_ordinal(rows, n_bins):
-    got = stats.with_ordinal(rows, ["g"], "k", ["id"], n_bins=n_bins).collect()
+def test_ordinal(rows, ranges):
+    got = stats.with_ordinal(rows, ["g"], "k", ["id"]).collect()
     assert len(got) == rows.count()
     by_group = {}
     for r in got:
@@ -42,6 +51,22 @@ def test_ordinal(rows, n_bins):
         assert [m[2] for m in sorted(members)] == list(range(len(members)))
 
 
+def test_ranges_follow_the_rows(spark, ranges):
+    """One far outlier, ids with gaps and a frequent key: no range is far above the mean."""
+    rows = spark.range(60_000).selectExpr("IF(id = 7, 1e18, IF(id % 3 = 0, 5, id * id)) AS k", "id")
+    grouped = rows.withColumn("_group", stats._group([]))
+    sizes = [r["count"] for r in stats._ranged(grouped, ["k", "id"]).groupBy("_bin").count().collect()]
+    assert len(sizes) >= 0.9 * ranges and max(sizes) <= 3 * 60_000 / len(sizes)
+
+
+def test_null_groups_stay(spark, ranges):
+    rows = spark.range(10).selectExpr("id", "IF(id < 4, NULL, 'a') AS g", "id * 1.0D AS v")
+    got = {(r["g"], r["id"]): r["ordinal"] for r in stats.with_ordinal(rows, ["g"], "id", []).collect()}
+    assert got == {(None if i < 4 else "a", i): i if i < 4 else i - 4 for i in range(10)}
+    middle = {r["g"]: r["v"] for r in stats.percentiles(rows, ["g"], "v", [50]).collect()}
+    assert middle == {None: 1.5, "a": 6.5}
+
+
 def test_ordinal_without_groups(spark):
     got = stats.with_ordinal(spark.range(100).repartition(7), [], "id", []).collect()
     assert all(r["id"] == r["ordinal"] for r in got)
