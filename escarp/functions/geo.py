@@ -62,7 +62,7 @@ def box_distance_bounds(
 class CellGrid:
     """Nested square degree cells: level 0 is at least `radius_m` wide, each level 4x finer."""
 
-    FINEST = 6
+    FINEST = 10
 
     def __init__(self, radius_m: float):
         wanted = radius_m * 1.000001 / METERS_PER_DEGREE

@@ -1,10 +1,12 @@
 """Distance joins between point tables.
 
-Both sides are first reduced to one row per coordinate, so copies of a point meet only once.
-Points then meet by equi-join on grid cells as wide as the radius. Cells of the right side that
-hold many points are replaced by a quadtree of partial aggregates: a left point takes a whole
-cell when the cell lies inside the radius, drops it when it lies outside, and opens it into its
-children only when the circle cuts it. So crowded cells never produce all their point pairs.
+Both sides are first reduced to one row per coordinate, so copies of a point meet only once. Each side is
+a quadtree of cells with partial aggregates, and pairs of cells are walked from cells as wide as the
+radius downwards. A pair whose boxes are farther apart than the radius is dropped; one that lies inside
+the radius as a whole counts as a whole; one of few point pairs is left to a join of its points; of any
+other pair the side with more points is opened into its cells. A nearest search also drops pairs that
+cannot beat the upper bound of another pair of the same left cell. Crowds on either side are thus opened as
+far as needed, by one algorithm at every size, and no task holds all points of a square.
 """
 
 from __future__ import annotations
@@ -24,25 +26,24 @@ from escarp.functions.geo import (
 )
 from escarp.session import materialize, scratch_dir
 
-# With more distinct points than this in some cell, cells are opened level by level, down to
-# cells of so many points. A nearest search gains sooner: it drops most cells unopened. A sum has
-# to look along the whole circle, which pays only where cells are far more crowded.
-AGGREGATE_CELL_POINTS, AGGREGATE_LEAF_POINTS = 16384, 1024
-NEAREST_CELL_POINTS, NEAREST_LEAF_POINTS = 256, 24
+#: Pairs of points that a pair of cells may stand for when its points are joined. Opening cells drops
+#: most of them in a nearest search, but only those far from the circle in a sum.
+LEAF_PAIRS, NEAREST_LEAF_PAIRS = 1 << 14, 1 << 10
 
 # name -> ("sum" | "max" | "min", column expression); a count is the sum of 1
 Aggregates = Mapping[str, tuple[str, Column]]
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
+_LEFT = ["_ll", "_ly", "_lx"]
 
 
-def _points(df: DataFrame, aggs: Aggregates) -> DataFrame:
-    """One row per coordinate with the partial aggregates of its copies."""
+def _points(df: DataFrame, aggs: Aggregates, by: Sequence[str] = ()) -> DataFrame:
+    """One row per coordinate (and `by`) with the partial aggregates of its copies."""
     kept = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     columns = [_FOLD[fn](col).alias(name) for name, (fn, col) in aggs.items()]
     if not columns:
-        return kept.select("lat", "lon").distinct()
-    return kept.groupBy("lat", "lon").agg(*columns)
+        return kept.select("lat", "lon", *by).distinct()
+    return kept.groupBy("lat", "lon", *by).agg(*columns)
 
 
 def _keyed(points: DataFrame, grid: CellGrid) -> DataFrame:
@@ -58,43 +59,178 @@ def _cell(grid: CellGrid, level: int) -> list[Column]:
     ]
 
 
-def _nodes(points: DataFrame, grid: CellGrid, level: int, aggs: Aggregates) -> DataFrame:
-    """Cells of one level: size, bounding box and partial aggregates."""
-    return points.groupBy(*_cell(grid, level)).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("lat").alias("_south"),
-        F.max("lat").alias("_north"),
-        F.min("lon").alias("_west"),
-        F.max("lon").alias("_east"),
-        *[_FOLD[fn](name).alias(name) for name, (fn, _) in aggs.items()],
+class _Side:
+    """One side's points and, for each level that the walk reaches, its cells."""
+
+    def __init__(self, points: DataFrame, grid: CellGrid, aggs: Aggregates, by: Sequence[str], path: str):
+        self.points, self.grid, self.aggs, self.by, self.path = points, grid, aggs, list(by), path
+        self.levels: dict[int, DataFrame] = {}
+
+    def found(self, level: int) -> DataFrame:
+        """Cells of a level: position, points, bounding box, partial aggregates."""
+        lon = F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180  # the date line has one side
+        return self.points.groupBy(*_cell(self.grid, level), *self.by).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("lat").alias("_south"),
+            F.max("lat").alias("_north"),
+            F.min(lon).alias("_west"),
+            F.max(lon).alias("_east"),
+            *[_FOLD[fn](name).alias(name) for name, (fn, _) in self.aggs.items()],
+        )
+
+    def cells(self, level: int) -> DataFrame:
+        """The cells of a level, written once: pairs of several levels open into them."""
+        if level not in self.levels:
+            self.levels[level] = materialize(self.found(level), f"{self.path}{level}")
+        return self.levels[level]
+
+    def at(self, level: int) -> DataFrame:
+        """The points with the cell of a level they are in."""
+        return self.points.withColumns(dict(zip(["_cy", "_cx"], _cell(self.grid, level), strict=True)))
+
+
+def _left_cells(cells: DataFrame, level: int, *more: Column) -> DataFrame:
+    """Left cells as a centre and how far their points are from it."""
+    lat, lon = (F.col("_south") + F.col("_north")) / 2, (F.col("_west") + F.col("_east")) / 2
+    _, reach = box_distance_bounds(lat, lon, *[F.col(c) for c in ("_south", "_north", "_west", "_east")])
+    return cells.select(
+        F.lit(level).alias("_ll"),
+        F.col("_cy").alias("_ly"),
+        F.col("_cx").alias("_lx"),
+        F.col("_n").alias("_ln"),
+        lat.alias("_lat"),
+        lon.alias("_lon"),
+        reach.alias("_reach"),
+        *more,
+    )
+
+
+def _right_cells(cells: DataFrame, level: int, names: Sequence[str]) -> DataFrame:
+    return cells.select(
+        F.lit(level).alias("_rl"),
+        F.col("_cy").alias("_ry"),
+        F.col("_cx").alias("_rx"),
+        F.col("_n").alias("_rn"),
+        *("_south", "_north", "_west", "_east"),
+        *names,
     )
 
 
-def _with_ring(left: DataFrame, grid: CellGrid) -> DataFrame:
-    rows, columns = grid.ring(F.col("l_lat"), F.col("l_lon"))
-    return left.withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(columns))
+def _parent(column: str) -> Column:
+    return F.shiftright(column, 2)
+
+
+class _Walk:
+    """The pairs of cells that count as a whole, and those whose points are to be joined."""
+
+    def __init__(
+        self, left: _Side, right: _Side, radii_m: Sequence[float], nearest: bool, leaf_pairs: int, scratch: str
+    ):
+        self.left, self.right, self.radii_m = left, right, radii_m
+        self.widest, self.nearest, self.leaf_pairs = float(max(radii_m)), nearest, leaf_pairs
+        self.scratch, self.finest = scratch, left.grid.FINEST
+        self.carried = [*right.by, *right.aggs]
+        self.whole: list[tuple[int, DataFrame]] = []
+        self.small: list[tuple[int, int, DataFrame]] = []
+        pairs, rounds = self._first(), 0
+        while pairs is not None:
+            pairs, rounds = self._round(pairs, rounds), rounds + 1
+
+    def _first(self) -> DataFrame:
+        """Left cells of level 0 with the right cells around them."""
+        grid = self.left.grid
+        cells = self.left.found(0)
+        # the ring widens with latitude: that of the box's edge next to a pole holds all others
+        edge = F.when(F.abs("_north") >= F.abs("_south"), F.col("_north")).otherwise(F.col("_south"))
+        _, columns = grid.ring(edge, F.col("_west"))
+        around = (
+            _left_cells(cells, 0, columns.alias("_columns"))
+            .withColumn("_ry", F.explode(F.sequence(F.col("_ly") - 1, F.col("_ly") + 1)))
+            .withColumn("_rx", F.explode("_columns"))
+            .drop("_columns")
+        )
+        right = _right_cells(self.right.found(0), 0, self.carried)
+        return around.join(right, ["_ry", "_rx"]).withColumn("_best", F.lit(self.widest))
+
+    def _round(self, pairs: DataFrame, number: int) -> DataFrame | None:
+        """Settle what can be settled; the opened rest, None when there is none."""
+        box = [F.col(c) for c in ("_south", "_north", "_west", "_east")]
+        near, far = box_distance_bounds(F.col("_lat"), F.col("_lon"), *box)
+        pairs = pairs.withColumns(
+            {"_low": F.greatest(near - F.col("_reach"), F.lit(0.0)), "_high": far + F.col("_reach")}
+        ).filter(F.col("_low") <= self.widest + 1e-6)
+        whole = F.lit(not self.nearest)
+        if self.nearest:
+            # a hair of slack: bounds and true distances are rounded separately
+            own = F.min("_high").over(W.partitionBy(*_LEFT, *self.right.by))
+            pairs = pairs.withColumn("_best", F.least("_best", own * (1 + 1e-9) + 1e-6))
+            pairs = pairs.filter(F.col("_low") <= F.col("_best"))
+        else:
+            for radius in self.radii_m:
+                whole &= (F.col("_high") <= radius - 1e-6) | (F.col("_low") > radius + 1e-6)
+        done = (F.col("_ll") == self.finest) & (F.col("_rl") == self.finest)
+        few = done | (F.col("_ln") * F.col("_rn") <= self.leaf_pairs)
+        open_left = (F.col("_rl") == self.finest) | (
+            (F.col("_ll") < self.finest) & (F.col("_ln") >= F.col("_rn"))
+        )
+        state = F.when(whole, "whole").when(few, "small").when(open_left, "left").otherwise("right")
+        pairs = materialize(pairs.withColumn("_state", state), f"{self.scratch}/round{number}")
+        kinds = pairs.select("_state", "_ll", "_rl").distinct().collect()  # a few levels
+        rest = None
+        for kind, ll, rl in sorted(map(tuple, kinds)):
+            of_kind = (F.col("_state") == kind) & (F.col("_ll") == ll) & (F.col("_rl") == rl)
+            some = pairs.filter(of_kind).drop("_state", "_low")
+            if kind == "whole":
+                self.whole.append((ll, some.select("_ly", "_lx", "_high", *self.right.aggs)))
+            elif kind == "small":
+                self.small.append((ll, rl, some.select("_ly", "_lx", "_ry", "_rx", *self.right.by)))
+            else:
+                opened = self._opened(some.drop("_high"), kind, ll, rl)
+                rest = opened if rest is None else rest.unionByName(opened)
+        return rest
+
+    def _opened(self, pairs: DataFrame, side: str, ll: int, rl: int) -> DataFrame:
+        if side == "left":
+            children = _left_cells(self.left.cells(ll + 1), ll + 1)
+            up = children.withColumns({"_py": _parent("_ly"), "_px": _parent("_lx")})
+            own = pairs.drop("_ll", "_ln", "_lat", "_lon", "_reach")
+            opened = own.withColumnsRenamed({"_ly": "_py", "_lx": "_px"}).join(up, ["_py", "_px"])
+        else:
+            children = _right_cells(self.right.cells(rl + 1), rl + 1, self.carried)
+            up = children.withColumns({"_py": _parent("_ry"), "_px": _parent("_rx")})
+            own = pairs.drop("_rl", "_rn", "_south", "_north", "_west", "_east", *self.right.aggs)
+            opened = own.withColumnsRenamed({"_ry": "_py", "_rx": "_px"}).join(
+                up, ["_py", "_px", *self.right.by]
+            )
+        return opened.drop("_py", "_px")
 
 
-def _meet(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
-    """Points of one cell: left rows carry the cell key, right rows are points.
+def _meet(pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_m: float) -> DataFrame:
+    """Pairs of points of the pairs of cells, within the radius.
 
     Most pairs fail the chord test, a few multiplications on vectors made once per point.
     """
-    here = unit_vector(F.col("l_lat"), F.col("l_lon"))
-    there = unit_vector(F.col("lat"), F.col("lon"))
-    left = left.select("l_lat", "l_lon", "_cy", "_cx").withColumns(
-        {f"_l{i}": c for i, c in enumerate(here)}
+    here = left.at(ll).select(
+        F.col("lat").alias("l_lat"),
+        F.col("lon").alias("l_lon"),
+        F.col("_cy").alias("_ly"),
+        F.col("_cx").alias("_lx"),
+        *[c.alias(f"_l{i}") for i, c in enumerate(unit_vector(F.col("lat"), F.col("lon")))],
+    )
+    there = right.at(rl).withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"}).drop("_fy", "_fx")
+    there = there.withColumns(
+        {f"_r{i}": c for i, c in enumerate(unit_vector(F.col("lat"), F.col("lon")))}
     )
-    right = right.drop("_fy", "_fx").withColumns({f"_r{i}": c for i, c in enumerate(there)})
     gaps = [F.col(f"_l{i}") - F.col(f"_r{i}") for i in range(3)]
     chord = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
     distance = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon"))
     return (
-        left.join(right, ["_cy", "_cx"])
+        pairs.join(here, ["_ly", "_lx"])
+        .join(there, ["_ry", "_rx", *right.by])
         .filter(chord <= max_chord_squared(radius_m))
         .withColumn("distance_m", distance)
         .filter(F.col("distance_m") <= radius_m)
-        .drop("_cy", "_cx", *[f"_{side}{i}" for side in "lr" for i in range(3)])
+        .select("l_lat", "l_lon", "distance_m", *right.by, *right.aggs)
     )
 
 
@@ -104,81 +240,44 @@ def _matches(
     radii_m: Sequence[float],
     aggs: Aggregates,
     nearest: bool,
-    cell_points: int,
+    leaf_pairs: int,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows (l_lat, l_lon, lat, lon, distance_m, aggregates).
+    """Rows (l_lat, l_lon, distance_m, by, aggregates).
 
-    For a nearest search only rows that can still win are produced. Otherwise a row may stand
-    for a whole cell that no radius cuts; lat and lon are then NULL.
+    For a nearest search only rows that can still win are produced. Otherwise a row may stand for a whole
+    cell that no radius cuts.
     """
-    widest = float(max(radii_m))
-    grid = CellGrid(widest)
-    names = list(aggs)
-    leaf_points = NEAREST_LEAF_POINTS if nearest else AGGREGATE_LEAF_POINTS
-    ringed = _with_ring(left, grid)
-    points = _keyed(right, grid)
-    crowded = points.groupBy(*_cell(grid, 0)).count().filter(F.col("count") > cell_points)
-    if crowded.isEmpty():
-        return _meet(ringed, points.withColumns(dict(zip(["_cy", "_cx"], _cell(grid, 0)))), widest)
-
-    # the frontier holds (left point, cell) pairs still to look into at this level
-    found = []
-    frontier = ringed
+    grid = CellGrid(float(max(radii_m)))
     scratch = scratch_dir(left.sparkSession)
-    for level in range(grid.FINEST + 1):
-        nodes = _nodes(points, grid, level, aggs)
-        low, high = box_distance_bounds(
-            *[F.col(c) for c in ("l_lat", "l_lon", "_south", "_north", "_west", "_east")]
-        )
-        pairs = (
-            frontier.join(nodes, ["_cy", "_cx"])
-            .withColumns({"_low": low, "_high": high})
-            .filter(F.col("_low") <= widest)
+    one = _Side(_keyed(left, grid), grid, {}, (), f"{scratch}/left")
+    two = _Side(_keyed(right, grid), grid, aggs, by, f"{scratch}/right")
+    walk = _Walk(one, two, radii_m, nearest, leaf_pairs, scratch)
+    parts = [_meet(pairs, one, two, ll, rl, walk.widest) for ll, rl, pairs in walk.small]
+    for ll, pairs in walk.whole:
+        here = one.at(ll).select(
+            F.col("lat").alias("l_lat"),
+            F.col("lon").alias("l_lon"),
+            F.col("_cy").alias("_ly"),
+            F.col("_cx").alias("_lx"),
         )
-        if nearest:
-            # a hair of slack: bounds and true distances are rounded separately
-            best = F.min("_high").over(W.partitionBy("l_lat", "l_lon"))
-            pairs = pairs.withColumn("_best", best * (1 + 1e-9) + 1e-6)
-            pairs = pairs.filter(F.col("_low") <= F.col("_best")).drop("_best")
-            whole = F.lit(False)
-        else:
-            whole = F.lit(True)
-            for radius in radii_m:
-                slack = 1e-6
-                whole &= (F.col("_high") <= radius - slack) | (F.col("_low") > radius + slack)
-        small = F.lit(level == grid.FINEST) | (F.col("_n") <= min(leaf_points, cell_points))
-        pairs = pairs.withColumns({"_whole": whole, "_small": small})
-        pairs = materialize(pairs, f"{scratch}/level{level}")
-        if not nearest:
-            found.append(
-                pairs.filter("_whole").select(
-                    "l_lat",
-                    "l_lon",
-                    F.lit(None).cast("double").alias("lat"),
-                    F.lit(None).cast("double").alias("lon"),
-                    F.col("_high").alias("distance_m"),
-                    *names,
-                )
-            )
-        leaves = points.withColumns(dict(zip(["_cy", "_cx"], _cell(grid, level))))
-        found.append(
-            _meet(pairs.filter("_small and not _whole"), leaves, widest).select(
-                "l_lat", "l_lon", "lat", "lon", "distance_m", *names
-            )
+        inside = pairs.withColumnRenamed("_high", "distance_m").join(here, ["_ly", "_lx"])
+        parts.append(inside.select("l_lat", "l_lon", "distance_m", *aggs))
+    if not parts:  # no two cells are within reach
+        none = one.points.limit(0).select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
+        return none.join(two.points.limit(0).drop("lat", "lon", "_fy", "_fx"), F.lit(False)).withColumn(
+            "distance_m", F.lit(0.0)
         )
-        cut = pairs.filter("not _small and not _whole").select("l_lat", "l_lon", "_cy", "_cx")
-        if cut.isEmpty():
-            break
-        children = F.array(*[F.lit(i) for i in range(4)])
-        frontier = cut.withColumn(
-            "_cy", F.explode(F.transform(children, lambda i: F.col("_cy") * 4 + i))
-        ).withColumn("_cx", F.explode(F.transform(children, lambda i: F.col("_cx") * 4 + i)))
-    result = found[0]
-    for part in found[1:]:
+    result = parts[0]
+    for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def _anchors(left: DataFrame) -> DataFrame:
+    return _points(left, {})
+
+
 def nearest_within(
     left: DataFrame,
     right: DataFrame,
@@ -186,15 +285,14 @@ def nearest_within(
     radius_m: float,
     out_id: str = "nearest_id",
     out_distance: str = "distance_m",
-    cell_points: int = NEAREST_CELL_POINTS,
+    leaf_pairs: int = NEAREST_LEAF_PAIRS,
 ) -> DataFrame:
     """Each left row with the closest right row within the radius; unmatched rows are dropped.
 
     Both tables have `lat` and `lon`. Ties go to the smallest id.
     """
     aggs = {"_id": ("min", F.col(right_id))}
-    anchors = _points(left, {}).select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
-    matches = _matches(anchors, _points(right, aggs), [radius_m], aggs, True, cell_points)
+    matches = _matches(_anchors(left), _points(right, aggs), [radius_m], aggs, True, leaf_pairs)
     best = matches.groupBy("l_lat", "l_lon").agg(
         F.min(F.struct("distance_m", "_id")).alias("_best")
     )
@@ -212,16 +310,15 @@ def aggregate_within(
     right: DataFrame,
     radii: Mapping[str, float],
     aggs: Aggregates,
-    cell_points: int = AGGREGATE_CELL_POINTS,
+    leaf_pairs: int = LEAF_PAIRS,
 ) -> DataFrame:
     """Left outer: aggregates of the right rows around each left row, one pass for all radii.
 
     `radii` maps a name suffix to metres; column `<agg><suffix>` holds one aggregate for one
     radius, NULL where nothing is near.
     """
-    anchors = _points(left, {}).select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
     matches = _matches(
-        anchors, _points(right, aggs), list(radii.values()), aggs, False, cell_points
+        _anchors(left), _points(right, aggs), list(radii.values()), aggs, False, leaf_pairs
     )
     columns = [
         _FOLD[fn](F.when(F.col("distance_m") <= radius, F.col(name))).alias(name + suffix)
@@ -237,20 +334,22 @@ def aggregate_within(
 
 
 def zones_within(
-    left: DataFrame, cells: DataFrame, zone_id: str, radius_m: float, out_distance: str = "distance_m"
+    left: DataFrame,
+    cells: DataFrame,
+    zone_id: str,
+    radius_m: float,
+    out_distance: str = "distance_m",
+    leaf_pairs: int = NEAREST_LEAF_PAIRS,
 ) -> DataFrame:
     """Each left row with every zone that has a cell within the radius, and that zone's distance.
 
-    `cells` has `zone_id`, `lat` and `lon`. A row and a zone meet once, however many cells are near:
-    cells combine to the zone's least distance before the shuffle. Left rows without a zone are
-    dropped, as are rows without a coordinate.
+    `cells` has `zone_id`, `lat` and `lon`. It is a nearest search in each zone: of a large footprint
+    only the cells that can be a point's nearest are looked at. Left rows without a zone are dropped,
+    as are rows without a coordinate, and cells without a zone.
     """
-    grid = CellGrid(float(radius_m))
-    anchors = _points(left, {}).select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
-    placed = cells.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    keyed = _keyed(placed.select(zone_id, "lat", "lon").distinct(), grid)
-    keyed = keyed.withColumns(dict(zip(["_cy", "_cx"], _cell(grid, 0), strict=True)))
-    near = _meet(_with_ring(anchors, grid), keyed, float(radius_m))
+    known = cells.filter(F.col(zone_id).isNotNull())
+    points = _points(known, {}, [zone_id])
+    near = _matches(_anchors(left), points, [radius_m], {}, True, leaf_pairs, [zone_id])
     zones = near.groupBy("l_lat", "l_lon", zone_id).agg(F.min("distance_m").alias(out_distance))
     return left.join(zones.withColumnsRenamed({"l_lat": "lat", "l_lon": "lon"}), ["lat", "lon"])
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from escarp.operators.proximity import aggregate_within, densify_segments, nearest_within
+from escarp.operators.proximity import aggregate_within, densify_segments, nearest_within, zones_within
 
 R = 6371008.8
 
@@ -58,11 +58,11 @@ def everything():
     return [p for part in parts for p in part[0]], [p for part in parts for p in part[1]]
 
 
-@pytest.mark.parametrize("cell_points", [3, 4096])
-def test_nearest(spark, cell_points):
+@pytest.mark.parametrize("leaf_pairs", [6, 1 << 16])
+def test_nearest(spark, leaf_pairs):
     left, right = everything()
     got = nearest_within(
-        frame(spark, left, "a"), frame(spark, right, "b"), "b", 800, "b", "d", cell_points
+        frame(spark, left, "a"), frame(spark, right, "b"), "b", 800, "b", "d", leaf_pairs
     )
     got = {r["a"]: r["d"] for r in got.collect()}
     want = {}
@@ -75,15 +75,15 @@ def test_nearest(spark, cell_points):
         assert got[i] == pytest.approx(want[i], abs=1e-3)
 
 
-@pytest.mark.parametrize("cell_points", [3, 4096])
-def test_aggregates(spark, cell_points):
+@pytest.mark.parametrize("leaf_pairs", [6, 1 << 16])
+def test_aggregates(spark, leaf_pairs):
     left, right = everything()
     got = aggregate_within(
         frame(spark, left, "a").drop("w"),
         frame(spark, right, "b"),
         {"_300": 300.0, "_800": 800.0},
         {"w": ("sum", F.col("w")), "n": ("sum", F.lit(1)), "top": ("max", F.col("b"))},
-        cell_points,
+        leaf_pairs,
     ).collect()
     assert len(got) == len(left)
     for row in got:
@@ -95,6 +95,45 @@ def test_aggregates(spark, cell_points):
             assert row[f"top_{r}"] == (max(near) if near else None)
 
 
+@pytest.mark.parametrize("leaf_pairs", [6, 1 << 16])
+def test_zones(spark, leaf_pairs):
+    left, right = everything()
+    cells = frame(spark, right, "b").withColumn("zone", F.when(F.col("b") != 3, F.col("b") % 7))
+    got = zones_within(frame(spark, left, "a"), cells, "zone", 800, "d", leaf_pairs).collect()
+    want = {}
+    for i, p in enumerate(left):
+        for j, q in enumerate(right):
+            if j != 3 and metres(p, q) <= 800:
+                want[i, j % 7] = min(want.get((i, j % 7), 800.0), metres(p, q))
+    assert {(r["a"], r["zone"]) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        assert r["d"] == pytest.approx(want[r["a"], r["zone"]], abs=1e-3)
+
+
+def test_a_dense_footprint_is_not_joined_point_by_point(spark):
+    """A square of 250,000 cells of one footprint and 2,500 points: few pairs of points are left."""
+    from escarp.functions.geo import CellGrid
+    from escarp.operators import proximity
+
+    cells = spark.range(250_000).selectExpr("0 AS zone", "40 + id % 500 * 1e-5 AS lat", "-110 + id div 500 * 1e-5 AS lon")
+    sites = spark.range(2_500).selectExpr("id AS a", "40 + id % 50 * 1e-4 + 3e-6 AS lat", "-110 + id div 50 * 1e-4 AS lon")
+    grid = CellGrid(800.0)
+    one = proximity._Side(proximity._keyed(sites.select("lat", "lon"), grid), grid, {}, (), proximity.scratch_dir(spark) + "/l")
+    two = proximity._Side(proximity._keyed(cells, grid), grid, {}, ["zone"], proximity.scratch_dir(spark) + "/r")
+    walk = proximity._Walk(one, two, [800.0], True, proximity.NEAREST_LEAF_PAIRS, proximity.scratch_dir(spark))
+    leaves = 0
+    for ll, rl, pairs in walk.small:
+        sizes = one.cells(ll).select("_cy", "_cx", "_n").join(
+            pairs.select(F.col("_ly").alias("_cy"), F.col("_lx").alias("_cx"), "_ry", "_rx"), ["_cy", "_cx"])
+        many = two.cells(rl).select(F.col("_cy").alias("_ry"), F.col("_cx").alias("_rx"), F.col("_n").alias("_m"))
+        row = sizes.join(many, ["_ry", "_rx"]).agg(F.sum(F.col("_n") * F.col("_m")).alias("s"), F.max(F.col("_n") * F.col("_m")).alias("m")).first()
+        leaves += row["s"]
+        assert row["m"] <= proximity.NEAREST_LEAF_PAIRS
+    assert leaves < 0.1 * 250_000 * 2_500
+    near = zones_within(sites, cells, "zone", 800, "d")
+    assert near.count() == 2_500 and near.agg(F.max("d")).first()[0] < 1.0
+
+
 def test_tie_goes_to_smallest_id(spark):
     left = spark.createDataFrame([(1, 40.0, -110.0)], "a long, lat double, lon double")
     right = spark.createDataFrame(
