@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from escarp.functions.stats import PRIME, mix, wide_mix, with_ordinal
+from escarp.operators import linear
 from escarp.session import materialize, scratch_dir
 
 TREE_MODELS = ("tree", "forest", "gbt")
@@ -137,7 +138,7 @@ def regressor(name: str, train: DataFrame, features: Sequence[str], target: str,
     elif name == "gbt":
         model = GBTRegressor(seed=0, **params)
     else:
-        raise TypeError(f"unknown model {name!r}, known are {MODELS}")
+        raise ValueError(f"there is no model {name!r}; choose one of {', '.join(MODELS)}")
     model.setFeaturesCol("_features").setLabelCol(target).setPredictionCol("prediction")
     assembler = VectorAssembler(
         inputCols=list(features), outputCol="_features", handleInvalid="error"
@@ -168,7 +169,7 @@ def evaluate(scored: DataFrame, target: str, by: str = "is_train") -> DataFrame:
 def feature_importance(name: str, model, features: Sequence[str], spark) -> DataFrame:
     """Rows (feature, importance) of a tree model."""
     if name not in TREE_MODELS:
-        raise NotImplementedError("only tree models have feature importances")
+        raise ValueError(f"{name} models weigh no features; tree models do")
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(features, weights)]
     return spark.createDataFrame(rows, "feature string, importance double")
@@ -279,11 +280,15 @@ def search_settings(
     """Mean cross-validated R2 of random settings: rows (model, params, r2), best first.
 
     The fold of a row follows from its identity alone. Everything that depends on the training
-    rows, the scale of a penalty too, is taken from the rows of the fold at hand.
+    rows, the scale of a penalty too, is taken from the rows of the fold at hand. Linear models are
+    solved from the moments of the folds, so all their settings cost one pass over the table.
     """
     spark = train.sparkSession
     settings = random_settings(name, n_iter, seed)
     fold = F.pmod(mix(F.lit(seed), F.col(identity)), F.lit(n_folds)).alias("_fold")
+    if name in linear.LINEAR_MODELS:
+        folds = linear.moments(train, features, target, fold)
+        return _history(spark, name, settings, linear.cross_validated(name, folds, settings))
     columns = dict.fromkeys((identity, target, *features))
     folded = materialize(train.select(*columns, fold), f"{scratch_dir(spark)}/folds")
 
@@ -292,6 +297,10 @@ def search_settings(
 
     with ThreadPoolExecutor(parallelism) as pool:  # the fits themselves run on the cluster
         scores = list(pool.map(score, settings))
+    return _history(spark, name, settings, scores)
+
+
+def _history(spark, name: str, settings: Sequence[Mapping], scores: Sequence[float]) -> DataFrame:
     rows = [
         (name, {k: str(v) for k, v in setting.items()}, score)
         for setting, score in zip(settings, scores, strict=True)
@@ -331,6 +340,50 @@ def compare_settings(
     return parts[0].unionByName(parts[1])
 
 
+def search_all(
+    train: DataFrame,
+    features: Sequence[str],
+    target: str,
+    identity: str,
+    models: Mapping[str, int],
+    n_folds: int = 5,
+    seed: int = 0,
+) -> DataFrame:
+    """The best setting of each of several models, and its score: rows (model, params, r2).
+
+    `models` has the number of random settings to try for each model.
+    """
+    found = None
+    for name, n_iter in models.items():
+        tried = search_settings(name, train, features, target, identity, n_iter, n_folds, seed).limit(1)
+        found = tried if found is None else found.unionByName(tried)
+    return found
+
+
+def typed_settings(name: str, params: Mapping[str, str]) -> dict:
+    """Saved settings, which are texts, as the values of the model's grid."""
+    grid = GRIDS[name]
+    return {key: next(v for v in grid[key] if str(v) == text) for key, text in params.items()}
+
+
+def predict_with(
+    settings: DataFrame, train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, identity: str
+) -> tuple[DataFrame, list[str]]:
+    """The rows with a column `<model>_score` for each saved setting, and the names of those columns."""
+    names = []
+    for saved in sorted(settings.collect(), key=lambda r: MODELS.index(r["model"])):  # one row a model
+        name, out = saved["model"], f"{saved['model']}_score"
+        params = typed_settings(name, saved["params"])
+        if name in linear.LINEAR_MODELS:
+            rows = rows.withColumn(out, linear.fit(name, train, features, target, **params).column(features))
+        elif name == "knn":
+            rows = knn_predict(train, rows, features, target, identity, **params, out=out)
+        else:
+            rows = predict(fit(name, train, features, target, **params), rows, out)
+        names.append(out)
+    return rows, names
+
+
 def best_settings(history: DataFrame) -> DataFrame:
     """The latest saved setting of each model; older runs stay in the table."""
     return history.groupBy("model").agg(

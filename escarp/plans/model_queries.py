@@ -344,6 +344,57 @@ def cross_validated_ridge(spark, sf_dir):
     return found.select(alpha, F.round("r2", 9).alias("r2"))
 
 
+_LASSOS = [setting["alpha"] for setting in model.random_settings("lasso", 10)]
+_MOMENTS = f"""items AS (SELECT l_quantity AS x, l_extendedprice AS y, {_FOLD} AS fold FROM lineitem),
+folds AS (SELECT unnest(range(5)) AS held),
+moments AS (SELECT held, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS c,
+    var_pop(x) AS v FROM folds JOIN items ON fold <> held GROUP BY held),
+settings AS (SELECT 'linear' AS model, CAST(0 AS DOUBLE) AS alpha
+    UNION ALL SELECT 'ridge', unnest({[float(a) for a in _ALPHAS]})
+    UNION ALL SELECT 'lasso', unnest({[float(a) for a in _LASSOS]})),
+models AS (SELECT held, model, alpha, mx, my, CASE model WHEN 'ridge' THEN c / (v + alpha / n)
+    ELSE sign(c) * greatest(abs(c) - alpha, 0) / v END AS w FROM moments, settings),
+scores AS (SELECT model, alpha, held, 1 - sum(power(y - my - w * (x - mx), 2)) / (var_pop(y) * count(*)) AS r2
+    FROM models JOIN items ON fold = held GROUP BY model, alpha, held),
+means AS (SELECT model, alpha, avg(r2) AS r2 FROM scores GROUP BY model, alpha)"""
+
+
+@query(
+    f"""WITH {_MOMENTS} SELECT model, nullif(alpha, 0) AS alpha, round(r2, 9) AS r2 FROM means"""
+)
+def searched_linear_models(spark, sf_dir):
+    """Every setting of all linear models over five folds, from one pass over the table."""
+    items = views.table(spark, sf_dir, "lineitem")
+    found = None
+    for name in ("linear", "ridge", "lasso"):
+        tried = model.search_settings(name, items, ["l_quantity"], "l_extendedprice", "l_orderkey", 10)
+        found = tried if found is None else found.unionByName(tried)
+    alpha = F.try_element_at("params", F.lit("alpha")).cast("double").alias("alpha")
+    return found.select("model", alpha, F.round("r2", 9).alias("r2"))
+
+
+@query(
+    f"""WITH {_MOMENTS}, best AS (SELECT arg_max(model, r2) AS model, arg_max(alpha, r2) AS alpha
+    FROM means WHERE model <> 'linear' GROUP BY model),
+known AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS c, var_pop(x) AS v FROM items),
+fitted AS (SELECT my, mx, max(CASE WHEN model = 'ridge' THEN c / (v + alpha / n) END) AS a,
+    max(CASE WHEN model = 'lasso' THEN sign(c) * greatest(abs(c) - alpha, 0) / v END) AS b
+    FROM known, best GROUP BY my, mx)
+SELECT l_orderkey, l_linenumber, round(my + a * (l_quantity - mx), 4) AS ridge_score,
+    round(my + b * (l_quantity - mx), 4) AS lasso_score FROM lineitem, fitted"""
+)
+def scored_by_saved_settings(spark, sf_dir):
+    """Best settings of two searches, saved, read back, fitted on all rows and applied."""
+    items = views.table(spark, sf_dir, "lineitem")
+    inputs = ["l_quantity"]
+    path = scratch_dir(spark)
+    best = model.search_all(items, inputs, "l_extendedprice", "l_orderkey", {"ridge": 8, "lasso": 10})
+    tables.save_settings(best, path, 1)
+    saved = model.best_settings(tables.read_table(spark, path))
+    scored, names = model.predict_with(saved, items, items, inputs, "l_extendedprice", "l_orderkey")
+    return scored.select("l_orderkey", "l_linenumber", *[F.round(n, 4).alias(n) for n in names])
+
+
 @query()
 def tuned_and_default_scores(spark, sf_dir):
     rows = _sales(spark, sf_dir)

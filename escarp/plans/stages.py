@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escarp import config
-from escarp.operators import features, terrain, tree, zonal
+from escarp.operators import features, model, terrain, tree, zonal
 from escarp.sources import tables
 
 
@@ -47,6 +47,10 @@ def run_stages(spark: SparkSession, stages: list[Stage], folder: str) -> list[st
     return built
 
 
+#: Models that are searched, and how many settings of each.
+SEARCHED = {"linear": 1, "ridge": 200, "lasso": 200, "knn": 20, "tree": 50, "forest": 20, "gbt": 20}
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Source tables of the build."""
@@ -58,12 +62,15 @@ class Inputs:
     roads: DataFrame  # lat, lon
     areas: DataFrame  # rows of a flattened tree
     grid: zonal.Georeference
+    models: Mapping[str, int] = field(default_factory=lambda: dict(SEARCHED))  # settings to try
     cell_m: float = 10
     tile_cells: int = terrain.TILE_CELLS
 
 
 def site_stages(inputs: Inputs) -> list[Stage]:
-    """areas -> ground -> footprints -> cliffs -> cliff features -> joined -> model table."""
+    """areas -> ground -> footprints -> cliffs -> cliff features -> joined -> model table -> settings ->
+    ranked. Models are fitted on accessible cliffs; `ranked` has the best unseen ones by the sum of all
+    predictions."""
 
     def areas(read):
         rows = tree.areas_by_coordinate(inputs.areas, with_path=True)
@@ -119,11 +126,27 @@ def site_stages(inputs: Inputs) -> list[Stage]:
         return features.attach_vicinity(labelled, near, footprint=cells)
 
     def modelled(read):
+        # an area gives its cliff a name, and the name a separator, also where it has no name itself
         seen = F.col("name") != ""
         raw = F.when(seen, F.col("n_rock") + F.col("n_views") + 1000).otherwise(0)
         kept = read("joined").withColumn("site_id", F.col("cliff_id"))
         return features.model_table(kept.withColumn("mp_score", raw))
 
+    def trained(table):
+        return table.filter("is_accessible"), model.feature_columns(table)
+
+    def settings(read):
+        train, inputs_of_model = trained(read("model_table"))
+        return model.search_all(train, inputs_of_model, "mp_score", "site_id", inputs.models)
+
+    def ranked(read):
+        table = read("model_table")
+        train, inputs_of_model = trained(table)
+        scored, names = model.predict_with(
+            read("settings"), train, table, inputs_of_model, "mp_score", "site_id"
+        )
+        return model.rank_unseen(scored, names, "site_id")
+
     return [
         Stage("areas", areas),
         Stage("ground", ground),
@@ -133,4 +156,6 @@ def site_stages(inputs: Inputs) -> list[Stage]:
         Stage("cliff_data", cliff_data),
         Stage("joined", joined),
         Stage("model_table", modelled),
+        Stage("settings", settings),
+        Stage("ranked", ranked),
     ]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from escarp.operators import tree
+from escarp.operators import linear, tree
 from escarp.plans.stages import Inputs, run_stages, site_stages
 from escarp.session import scratch_dir
 from escarp.sources import views
@@ -46,7 +46,7 @@ def test_build_and_resume(spark):
         tile_cells=10,
     )
     folder = scratch_dir(spark)
-    stages = site_stages(inputs)
+    stages = site_stages(inputs)[:-2]
     assert run_stages(spark, stages[:5], folder) == [s.name for s in stages[:5]]
     assert run_stages(spark, stages, folder) == [s.name for s in stages[5:]]
     assert run_stages(spark, stages, folder) == []
@@ -60,3 +60,26 @@ def test_build_and_resume(spark):
     assert "is_accessible" in table.columns and "road_within_500m" not in table.columns
     for column in ("slope_p10", "B42_p50", "geology_alluvium", "elevation"):
         assert column in table.columns
+
+
+def test_search_and_ranking(spark):
+    """The last two stages, on a model table with accessible and unseen sites."""
+    rows = spark.range(300).selectExpr(
+        "id AS site_id", "0.01 + id % 17 * 0.01 AS height", "id % 13 * 1.0D AS slope_p10", "id % 7 * 0.5D AS B42_p50",
+        "id % 3 = 0 AS is_accessible",
+        "IF(id % 5 = 0, 0D, id % 17 * 0.02 + id % 13 * 0.01) AS mp_score",
+    )
+    folder = scratch_dir(spark)
+    rows.write.parquet(f"{folder}/model_table")
+    names = {"linear": 1, "ridge": 8, "lasso": 3, "tree": 2}
+    inputs = Inputs(*[rows] * 6, grid=views.GRID, models=names)
+    assert run_stages(spark, site_stages(inputs)[-2:], folder) == ["settings", "ranked"]
+    assert {r["model"] for r in spark.read.parquet(f"{folder}/settings").collect()} == set(names)
+    ranked = spark.read.parquet(f"{folder}/ranked").orderBy(F.col("summary_score").desc(), "site_id").collect()
+    assert len(ranked) == 50 and all(r["site_id"] % 5 == 0 for r in ranked)
+    for r in ranked:
+        assert abs(sum(r[f"{n}_score"] for n in names) - r["summary_score"]) < 1e-9
+    weights = linear.fit("linear", rows.filter("is_accessible"), ["height", "slope_p10", "B42_p50"], "mp_score")
+    best = rows.filter("mp_score = 0").select("site_id", weights.column(["height", "slope_p10", "B42_p50"]).alias("w"))
+    best = {r["site_id"]: r["w"] for r in best.collect()}
+    assert all(abs(best[r["site_id"]] - r["linear_score"]) < 1e-9 for r in ranked)
