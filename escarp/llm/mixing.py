@@ -32,6 +32,7 @@ BUCKET_ROWS = 128
 ROUNDS = 24
 TASK_SLOTS = 1 << 15
 CELLS = 1024
+COPIES = 1024
 
 
 class Mix(NamedTuple):
@@ -142,10 +143,24 @@ def mix(
     return Mix(plan, documents, materialize(slots, f"{scratch}/slots"), counts)
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """The rows with `copy`, the number of the row among equal ones.
+
+    Equal rows are counted and dealt out anew in runs of COPIES, so they need no order among them, and
+    a row that a third of the table repeats is spread like any other.
+    """
+    columns = ["row", "source", "size", "text_hash"]
+    counted = sized.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    runs = counted.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")))
+    numbers = F.expr(f"sequence(run * {COPIES}, least(n, (run + 1) * {COPIES}) - 1)")
+    return runs.withColumn("copy", F.explode(numbers)).select(*columns, "copy")
+
+
 def _packed(sized: DataFrame, plan: DataFrame, buckets: int, scratch: str) -> DataFrame:
     """The documents with the place of their first word in their source."""
+    sized = _numbered(sized)
     named = sized.join(plan.select("sid", "source"), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    bucketed = named.withColumn("order", F.xxhash64("row", "text_hash")).withColumn(
+    bucketed = named.withColumn("order", F.xxhash64("row", "text_hash", "copy")).withColumn(
         "bucket", F.pmod(F.xxhash64("order", F.lit(1)), F.lit(buckets))
     )
     inside = Window.partitionBy("sid", "bucket").orderBy("order", "text_hash")

@@ -240,3 +240,12 @@ def test_stages_take_effect(spark, docs, labels, monkeypatch):
     passes = Counter(r.doc_id for r in out if r.doc_id is not None)
     assert max(passes.values()) <= 2
     assert not {5, 70, 71} & set(passes)  # of these equal texts the largest id stays
+
+
+def test_equal_rows_are_spread_over_buckets(spark):
+    """A third of all rows are one row: no bucket has more than 3 x the mean."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "'a' AS source")
+    equal = spark.range(3000).selectExpr("-1L AS doc_id", "'one and the same' AS text", "'a' AS source")
+    mixed = mixing.mix(rows.unionByName(equal))
+    sizes = [r["count"] for r in mixed.documents.groupBy("sid", "bucket").count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= 3 * 9000 / len(sizes)
