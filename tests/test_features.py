@@ -177,9 +177,9 @@ def test_saved_settings_keep_history(spark):
 
 
 def test_unknown_models_are_refused(spark):
-    with pytest.raises(TypeError):
+    with pytest.raises(ValueError):
         model.regressor("neural", spark.range(1), ["a"], "y")
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(ValueError):
         model.feature_importance("linear", None, [], spark)
 
 
