@@ -19,7 +19,9 @@ def labelled_sample(
     """(id, text, lot, label columns) of about `most` labelled documents, chosen by a hash of the id.
 
     Labels without id or value are left out; of a repeated id the largest labels count. The chosen
-    labels are broadcast: `most` bounds their number (in expectation, with a spread of its root).
+    labels are broadcast: `most` bounds their number (in expectation, with a spread of its root). An
+    id has one row in the sample, of repeated ids the text with the smallest hash, so `most` bounds the
+    rows too and no id outweighs the others.
     """
     whole = labels.filter(F.col(id_col).isNotNull())
     whole = whole.groupBy(F.col(id_col).alias("id")).agg(
@@ -30,4 +32,6 @@ def labelled_sample(
     chosen = whole.filter(F.col("lot") < int(part * _LOTS))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     texts = docs.select(F.col(id_col).alias("id"), text)
-    return texts.join(F.broadcast(chosen), "id")
+    rows = texts.join(F.broadcast(chosen), "id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return rows.groupBy("id", "lot", *columns).agg(one).select("id", "text", *columns, "lot")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from escarp.llm import bloom_lm, mixing, quality, queries, secrets, toxicity
+from escarp.llm.samples import labelled_sample
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +59,40 @@ def test_markov_models_find_unnamed_secrets(spark):
     assert sum(got[i].n_markov for i in range(200)) <= 2
 
 
+def test_short_keys_and_parts_of_runs_are_judged(spark):
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    stems = ["read", "user", "count", "index", "value", "parse", "table", "update", "name", "list", "file"]
+    name = lambda: "_".join(rng.choice(stems) for _ in range(6))
+    data = [(i, f"{name()} token={key(32)} {name()}") for i in range(200)]
+    lengths = (12, 16, 20, 24, 32)
+    data += [(1000 * n + i, f"{name()} {key(n)} {name()}") for n in lengths for i in range(50)]
+    # a key on either side of a base span, in one run with it
+    sides = [(10**6 + i, f"{key(24)}/secret={key(16)}") for i in range(50)]
+    sides += [(2 * 10**6 + i, f"{'0af3' * 5}_{key(24)}") for i in range(50)]
+    got = {r.doc_id: r for r in secrets.report(spark.createDataFrame(data + sides, "doc_id long, text string")).collect()}
+    found = {n: sum(got[1000 * n + i].n_markov == 1 for i in range(50)) for n in lengths}
+    assert found[12] >= 35 and found[16] >= 40 and found[20] >= 40 and min(found[24], found[32]) >= 45, found
+    assert sum(got[i].n_markov for i in range(200)) <= 2
+    for i, text in sides:
+        assert {s.rsplit(":", 2)[0] for s in got[i].spans.split(",")} <= {"assign", "hex", "markov"}
+        ends = sorted(tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(","))
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert sum(got[i].n_markov for i, _ in sides) >= 90
+
+
+def test_sample_is_bounded_by_rows_of_one_id(spark):
+    docs = [(i, f"text {i}") for i in range(1, 100)] + [(0, f"hot {i % 40}") for i in range(3000)]
+    marks = [(i, i % 2) for i in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    sample = labelled_sample(frame, spark.createDataFrame(marks, "doc_id long, toxic int"), ["toxic"], 1000)
+    rows = sample.collect()
+    assert len(rows) == 100 and {r.id: r.toxic for r in rows} == dict(marks)
+    again = labelled_sample(frame.repartition(7), spark.createDataFrame(marks, "doc_id long, toxic int"), ["toxic"], 1000)
+    assert sorted(again.collect()) == sorted(rows)
+
+
 def test_language_model(docs, no_docs):
     rows = {i: r for i, r in enumerate(docs.collect())}
     tokens = {i: [*WORD.findall((r.text or "").translate(LOWER)), " "] for i, r in rows.items()}
