@@ -164,9 +164,9 @@ def tile_of(
     return {"tile_x": F.floor((lon - xmin) / dx), "tile_y": F.floor((lat - ymin) / dy)}
 
 
-def tiles_touching(tiles: DataFrame, region_points: DataFrame) -> DataFrame:
-    """Rectangles that hold some point of a region."""
+def tiles_touching(tiles: DataFrame, region_points: DataFrame, **grid: float) -> DataFrame:
+    """Rectangles that hold some point of a region; `grid` is that of `tile_grid` (xmin, dx, ymin, dy)."""
     occupied = region_points.select(
-        *[c.alias(n) for n, c in tile_of(F.col("lat"), F.col("lon")).items()]
+        *[c.alias(n) for n, c in tile_of(F.col("lat"), F.col("lon"), **grid).items()]
     ).distinct()
     return tiles.join(occupied, ["tile_x", "tile_y"], "left_semi")

@@ -135,37 +135,73 @@ def flatten_nested(roots: DataFrame, on_bad: str = "fail") -> DataFrame:
         depth += 1
 
 
-def flatten_adjacency(nodes: DataFrame, on_bad: str = "fail") -> DataFrame:
-    """The same rows from parent-pointer nodes.
+def _area_paths(nodes: DataFrame, on_bad: str) -> DataFrame:
+    """(parent_id, up_path, up_lat, up_lon) of every area below the root, by path doubling.
 
-    `nodes` has `node_id`, `parent_id`, `ordinal` among siblings and the node fields; root areas
-    have the parent `ROOT_ID`.
+    Each area knows a stretch of its path: up to the ancestor `up`, with the nearest own coordinate on
+    it. A round puts the ancestor's stretch before the own one, which doubles it, so that a tree of depth
+    d takes about log2(d) joins. While areas below the root are left, each round finishes some of them; a
+    round that finishes none leaves cycles only. Routes, the most of a tree, take no part.
     """
     scratch = scratch_dir(nodes.sparkSession)
-    rows = virtual_root(nodes)
-    parents = nodes.sparkSession.range(1).select(
-        F.lit(ROOT_ID).alias("parent_id"),
-        F.array().cast("array<bigint>").alias("up_path"),
-        F.lit(ROOT_LAT).alias("up_lat"),
-        F.lit(ROOT_LON).alias("up_lon"),
+    lat2, lon2 = precise_coordinate(F.col("gps2"))
+    own = F.col("lat").isNotNull()
+    if on_bad == "quarantine":
+        own &= F.coalesce(~coordinates_disagree(F.col("lat"), F.col("long"), F.col("gps2")), F.lit(False))
+    start = nodes.filter(F.col("types").isNull()).select(
+        "node_id",
+        F.col("parent_id").alias("up"),
+        F.array(F.col("ordinal").cast("bigint")).alias("path"),
+        F.when(own, F.struct(lat2.alias("lat"), lon2.alias("lon"))).alias("key"),
     )
+    known = materialize(start, f"{scratch}/stretch0")
+    at_root = F.col("up") == ROOT_ID
+    done, active = known.filter(at_root), known.filter(~at_root)
     depth = 0
     while True:
-        joined = nodes.join(parents, "parent_id").withColumn(
-            "path", F.concat("up_path", F.array(F.col("ordinal").cast("bigint")))
+        depth += 1
+        ahead = done.unionByName(active).select(
+            F.col("node_id").alias("up"),
+            F.col("up").alias("next_up"),
+            F.col("path").alias("path_before"),
+            F.col("key").alias("key_before"),
         )
-        level = materialize(_with_key(joined.drop("up_path"), on_bad), f"{scratch}/depth{depth}")
-        rows = rows.unionByName(_tree_rows(level))
-        areas = level.filter(F.col("types").isNull())
-        if areas.isEmpty():
-            return rows
-        parents = areas.select(
-            F.col("node_id").alias("parent_id"),
-            F.col("path").alias("up_path"),
-            F.col("key_lat").alias("up_lat"),
-            F.col("key_lon").alias("up_lon"),
+        doubled = active.join(ahead, "up").select(
+            "node_id",
+            F.col("next_up").alias("up"),
+            F.concat("path_before", "path").alias("path"),
+            F.coalesce("key", "key_before").alias("key"),
         )
-        depth += 1
+        doubled = materialize(doubled, f"{scratch}/stretch{depth}")
+        finished, active = doubled.filter(at_root), doubled.filter(~at_root)
+        if finished.isEmpty():
+            break
+        done = done.unionByName(finished)
+    root = F.struct(F.lit(ROOT_LAT).alias("lat"), F.lit(ROOT_LON).alias("lon"))
+    areas = done.select("node_id", "path", F.coalesce("key", root).alias("key"))
+    top = nodes.sparkSession.range(1).select(
+        F.lit(ROOT_ID).alias("node_id"), F.array().cast("array<bigint>").alias("path"), root.alias("key")
+    )
+    return areas.unionByName(top).select(
+        F.col("node_id").alias("parent_id"),
+        F.col("path").alias("up_path"),
+        F.col("key.lat").alias("up_lat"),
+        F.col("key.lon").alias("up_lon"),
+    )
+
+
+def flatten_adjacency(nodes: DataFrame, on_bad: str = "fail") -> DataFrame:
+    """The same rows from parent-pointer nodes.
+
+    `nodes` has `node_id`, `parent_id`, `ordinal` among siblings and the node fields; root areas
+    have the parent `ROOT_ID`. Nodes that no chain of areas ties to the root are left out.
+    """
+    joined = nodes.join(_area_paths(nodes, on_bad), "parent_id").withColumn(
+        "path", F.concat("up_path", F.array(F.col("ordinal").cast("bigint")))
+    )
+    rows = _tree_rows(_with_key(joined.drop("up_path"), on_bad))
+    rows = materialize(rows, f"{scratch_dir(nodes.sparkSession)}/nodes")
+    return virtual_root(nodes).unionByName(rows)
 
 
 def _tree_rows(level: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from escarp.operators.patches import with_shard
@@ -33,12 +34,38 @@ _ROOT_FIELDS = (
 )
 
 
+def in_reading_order(rows: DataFrame, out: str = "ordinal") -> DataFrame:
+    """`rows`, read from files, with their 0-based number by file name, then place in the file.
+
+    A split of a file is read by one task from its start to its end, so a row's number is its place in
+    the split plus the rows of the splits before. Only one row per split is summed up; the numbers are
+    the same for every size of splits and every order in which tasks take them.
+    """
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row_at"),
+    )
+    splits = placed.groupBy("_file", "_block").agg(
+        F.min("_row_at").alias("_low"), F.count(F.lit(1)).alias("_n")
+    )
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    of_file = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    in_file = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_rows").over(of_file), F.lit(0)).alias("_before"))
+    before = F.col("_before") + F.coalesce(F.sum("_n").over(in_file), F.lit(0))
+    shifts = splits.join(files, "_file").select("_file", "_block", (before - F.col("_low")).alias("_shift"))
+    numbered = placed.join(shifts, ["_file", "_block"])
+    return numbered.select((F.col("_row_at") + F.col("_shift")).alias(out), *rows.columns)
+
+
 def read_area_tree(spark: SparkSession, path: str, one_list: bool = False) -> DataFrame:
     """Root areas as (ordinal, node VARIANT).
 
     By default one root area per line, which splits over tasks. `one_list` reads files that hold
     one JSON list each; such a file is one document and is read by one task, its root areas then
-    spread. `ordinal` grows in reading order.
+    spread. `ordinal` numbers the root areas in reading order, whatever the size of splits.
     """
     if one_list:
         # children stay raw text here, so only single root areas become variants
@@ -47,9 +74,8 @@ def read_area_tree(spark: SparkSession, path: str, one_list: bool = False) -> Da
         opened = F.regexp_replace(scalars, r"\}$", ', "children": ')
         whole = F.concat(opened, F.col("children"), F.lit("}"))
         node = F.parse_json(F.coalesce(whole, scalars)).alias("node")
-        return roots.select(F.monotonically_increasing_id().alias("ordinal"), node)
-    lines = spark.read.option("singleVariantColumn", "node").json(path)
-    return lines.select(F.monotonically_increasing_id().alias("ordinal"), "node")
+        return in_reading_order(roots).select("ordinal", node)
+    return in_reading_order(spark.read.option("singleVariantColumn", "node").json(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:

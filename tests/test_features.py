@@ -214,6 +214,7 @@ def test_other_grids_find_their_tiles(spark):
     own = points.select(*[c.alias(n) for n, c in terrain.tile_of(F.col("lat"), F.col("lon"), **grid).items()])
     assert tiles.count() == 9
     assert tiles.join(own, ["tile_x", "tile_y"], "left_semi").count() == 2
+    assert sorted((r.tile_x, r.tile_y) for r in terrain.tiles_touching(tiles, points, **grid).collect()) == [(0, 0), (2, 2)]
 
 
 def test_stage_columns_that_are_no_features(spark):

@@ -1,6 +1,7 @@
 """Tree flattening on small hand-made trees."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,70 @@ def test_coordinate_without_precise_text_is_bad(spark, gps2):
     assert [(r["name"], r["n_rock"], r["path"]) for r in found] == [("A", 1, [0])]
 
 
+NODE_SCHEMA = (
+    "node_id string, parent_id string, ordinal long, name string, url string, lat double, "
+    "long double, gps2 string, views long, types array<string>"
+)
+
+
+def test_deep_trees_cycles_and_orphans(spark, monkeypatch):
+    rng = random.Random(5)
+    nodes, parents = {}, ["root"]
+    for i in range(64):  # a chain of depth 64
+        nodes[f"c{i}"] = [f"c{i - 1}" if i else "root", 0, None]
+        parents.append(f"c{i}")
+    for i in range(150):
+        nodes[f"a{i}"] = [rng.choice(parents), i + 1, None]
+        parents.append(f"a{i}")
+    for i in range(300):
+        nodes[f"r{i}"] = [rng.choice(parents[1:]), 1000 + i, ["trad"]]
+    nodes |= {"x": ["y", 0, None], "y": ["x", 0, None], "under_x": ["x", 1, ["trad"]]}
+    nodes |= {"lost": ["nowhere", 0, None], "under_lost": ["lost", 0, None], "under_route": ["r0", 0, None]}
+    nodes["loop"] = ["loop", 0, None]
+    at = {n: (round(40 + i / 100, 2), -110.0) for i, n in enumerate(nodes) if n.startswith(("c", "a")) and rng.random() < 0.3}
+    data = [
+        (n, up, place, n, f"u/{n}", *(at[n] if n in at else (None, None)), f"{at[n][0]},{at[n][1]}" if n in at else None, 1, kinds)
+        for n, (up, place, kinds) in nodes.items()
+    ]
+    want = {}
+    for n in nodes:
+        path, key, here, seen = [], None, n, set()
+        while here in nodes and here not in seen and (here == n or nodes[here][2] is None):
+            seen.add(here)
+            path.insert(0, nodes[here][1])
+            key = key or at.get(here)
+            here = nodes[here][0]
+        if here == "root":
+            want[n] = (path, *(key or (tree.ROOT_LAT, tree.ROOT_LON)))
+    written = []
+    write = tree.materialize
+    monkeypatch.setattr(tree, "materialize", lambda df, path: written.append(path) or write(df, path))
+    frame = spark.createDataFrame(data, NODE_SCHEMA)
+    rows = tree.flatten_adjacency(frame).collect()
+    assert {r["name"]: (r["path"], r["key_lat"], r["key_lon"]) for r in rows if r["path"]} == want
+    assert len(rows) == len(want) + 1 and len(want) == 64 + 150 + 300
+    assert len(written) <= 10  # the first stretches, eight joins at most, the rows
+    assert tree.flatten_adjacency(frame.limit(0)).count() == 1
+
+
+@pytest.mark.parametrize("split", ["134217728", "700"])
+def test_reading_order_for_any_split_size(spark, tmp_path, split):
+    for part in range(4):
+        lines = [json.dumps({"name": f"{part}-{i}", "children": []}) for i in range(50 + 40 * part)]
+        lines.insert(7, "")
+        (tmp_path / f"part{part}.json").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        roots = tables.read_area_tree(spark, str(tmp_path))
+        names = roots.select("ordinal", F.try_variant_get("node", "$.name", "string").alias("name"))
+        got = sorted(tuple(r) for r in names.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [f"{part}-{i}" for part in range(4) for i in range(50 + 40 * part)]
+    assert got == list(enumerate(want))
+
+
 def test_clean_name(spark):
     names = [" a b ", "x\r\ny", " pad ", "", "one\x0btwo", "q r"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(tree.clean_name(F.col("n")))
