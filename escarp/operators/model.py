@@ -1,4 +1,4 @@
-"""Regression on cliff tables with Spark ML, plus exact k-NN, sampling and ranking."""
+"""Regression on cliff tables with Spark ML, plus sampling and ranking."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
@@ -18,12 +17,12 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from escarp.functions.stats import PRIME, mix, wide_mix, with_ordinal
 from escarp.operators import linear
+from escarp.operators.neighbors import knn_predict
 from escarp.session import materialize, scratch_dir
 
 TREE_MODELS = ("tree", "forest", "gbt")
@@ -175,88 +174,6 @@ def feature_importance(name: str, model, features: Sequence[str], spark) -> Data
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def _nearest_rows(k: int, p: float, x_train, y_train, x_query):
-    """Distances and targets of the k nearest training rows; rows come sorted by target, and
-    the stable sort lets the smaller target win a tie."""
-    gap = np.abs(x_query[:, None, :] - x_train[None, :, :])
-    distance = (gap**p).sum(axis=2)
-    at = np.argsort(distance, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(distance, at, axis=1), y_train[at]
-
-
-def knn_predict(
-    train: DataFrame,
-    rows: DataFrame,
-    features: Sequence[str],
-    target: str,
-    identity: str,
-    k: int = 5,
-    p: float = 2.0,
-    block: int = 2_000,
-    out: str = "prediction",
-) -> DataFrame:
-    """Mean target of the k nearest training rows (Minkowski distance), exact.
-
-    Training and query rows are cut into blocks of about `block` rows; each pair of blocks is
-    one group of bounded size that keeps k candidates per query row, and a second pass keeps
-    the k best. No side is broadcast or collected, and pairs of rows are never written out.
-    At equal distance the smaller target counts as nearer.
-    """
-
-    def spread(df: DataFrame, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
-        return df.withColumn(
-            own, F.pmod(mix(F.lit(17), F.col(identity)), F.lit(n_own)).cast("int")
-        ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    n_train = -(-train.count() // block)
-    n_query = max(-(-rows.count() // block), rows.sparkSession.sparkContext.defaultParallelism)
-    vector = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
-    known = spread(
-        train.select(identity, vector, F.col(target).cast("double").alias("y")),
-        "_tb", "_qb", n_train, n_query,
-    )
-    asked = spread(rows.select(identity, vector), "_qb", "_tb", n_query, n_train)
-    id_type = rows.schema[identity].dataType
-    schema = T.StructType(
-        [
-            T.StructField("_id", id_type),
-            T.StructField("d", T.ArrayType(T.DoubleType())),
-            T.StructField("y", T.ArrayType(T.DoubleType())),
-        ]
-    )
-
-    def search(query: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if query.empty or base.empty:
-            return pd.DataFrame({"_id": query[identity][:0], "d": [], "y": []}, dtype=object)
-        base = base.sort_values("y")
-        x_train = np.stack(base["x"].to_numpy())
-        y_train = base["y"].to_numpy()
-        ids, distances, targets = [], [], []
-        for start in range(0, len(query), 64):
-            part = query.iloc[start : start + 64]
-            d, y = _nearest_rows(k, p, x_train, y_train, np.stack(part["x"].to_numpy()))
-            ids.extend(part[identity])
-            distances.extend(d.tolist())
-            targets.extend(y.tolist())
-        return pd.DataFrame({"_id": ids, "d": distances, "y": targets})
-
-    best = (
-        asked.groupBy("_qb", "_tb").cogroup(known.groupBy("_qb", "_tb")).applyInPandas(search, schema)
-    )
-    candidates = best.select("_id", F.explode(F.arrays_zip("d", "y")).alias("c")).select(
-        "_id", "c.d", "c.y"
-    )
-    nearest = W.partitionBy("_id").orderBy("d", "y")
-    result = (
-        candidates.withColumn("_n", F.row_number().over(nearest))
-        .filter(F.col("_n") <= k)
-        .groupBy("_id")
-        .agg(F.avg("y").alias(out))
-        .withColumnRenamed("_id", identity)
-    )
-    return rows.join(result, identity, "left")
-
-
 def random_settings(name: str, n: int, seed: int = 0) -> list[dict]:
     """n different settings drawn uniformly from the grid of a model (all if there are fewer)."""
     grid = GRIDS[name]

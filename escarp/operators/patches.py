@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escarp import config
 from escarp.functions.stats import mix, sample_per_group, with_ordinal
+from escarp.session import materialize, scratch_dir
 
 
 def sample_size_by_area(area_m2: Column, n_scenes: Column, share: float) -> Column:
@@ -75,11 +77,60 @@ def sample_scene_patches(
 
 
 def sample_shards(cells: DataFrame, n_shards: int, size: int) -> DataFrame:
-    """One independent sample per shard, seeded by the shard number."""
-    shards = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
-    return sample_per_group(
-        cells.withColumn("shard", shards), ["shard"], size, ["x", "y"], F.col("shard")
-    )
+    """Exactly min(size, cells) random cells per shard, independent of the other shards.
+
+    Cells are numbered by (y, x). A shard goes through its own permutation of the numbers 0, 1, 2 and so on
+    of the next power of four, leaves out those with no cell, and takes the first `size`. Only the drawn
+    numbers are made, a row each, and meet the cells once. `cells` has one row per (x, y).
+    """
+    spark = cells.sparkSession
+    path = scratch_dir(spark)
+    ranked = materialize(with_ordinal(cells, [], "y", ["x"], "_at"), f"{path}/ranked")
+    n = ranked.count()
+    half = 2 ** permutation_bits(n)
+    size, tried = min(size, n), 0
+    # on average n of half * half numbers have a cell; the few shards that come out short go on
+    steps = min(half * half, size * half * half // max(n, 1) * 5 // 4 + 64)
+    shards, drawn = spark.range(n_shards).select(F.col("id").cast("int").alias("shard")), []
+    while size and tried < half * half:
+        tries = F.explode(F.sequence(F.lit(tried), F.lit(min(tried + steps, half * half) - 1)))
+        asked = permuted(shards.repartition("shard").withColumn("_i", tries), "shard", "_i", half, "_at")
+        # written before the filter, which would otherwise be pushed through the rounds as one expression
+        drawn.append(materialize(asked, f"{path}/drawn{len(drawn)}").filter(F.col("_at") < n))
+        tried += steps
+        found = reduce(DataFrame.unionByName, drawn).groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
+        short = materialize(
+            spark.range(n_shards).select(F.col("id").cast("int").alias("shard")).join(found, "shard", "left")
+            .filter(F.coalesce("_n", F.lit(0)) < size).select("shard"),
+            f"{path}/short{len(drawn)}",
+        )
+        if short.isEmpty():
+            break
+        shards = short
+    if not drawn:
+        return cells.withColumn("shard", F.lit(0)).limit(0)
+    in_order = with_ordinal(reduce(DataFrame.unionByName, drawn), ["shard"], "_i", [], "_place")
+    taken = in_order.filter(F.col("_place") < size).select("shard", "_at")
+    return ranked.join(taken, "_at").select(*cells.columns, "shard")
+
+
+def permutation_bits(n: int) -> int:
+    """Bits of each half of the numbers that `permuted` permutes: the least b with 4 ** b >= n."""
+    return ((max(n, 1) - 1).bit_length() + 1) // 2
+
+
+def permuted(df: DataFrame, seed: str, number: str, half: int, out: str, rounds: int = 4) -> DataFrame:
+    """`out` is the place of `number` in a permutation of 0 .. half * half - 1 that depends on `seed`.
+
+    Each round exchanges the halves of the number and adds a mix of one to the other, which can be
+    undone, so no two numbers get one place. A round is a projection of its own: as one expression
+    the halves would be written out many times.
+    """
+    state = df.withColumns({"_left": F.floor(F.col(number) / half), "_right": F.pmod(F.col(number), F.lit(half))})
+    for turn in range(rounds):
+        added = F.pmod(F.col("_left") + mix(turn, F.col(seed), F.col("_right")), F.lit(half))
+        state = state.select(*df.columns, F.col("_right").alias("_left"), added.alias("_right"))
+    return state.withColumn(out, F.col("_left") * half + F.col("_right")).drop("_left", "_right")
 
 
 def neighborhoods(

@@ -45,15 +45,27 @@ def sample_sizes(spark, sf_dir):
     )
 
 
+def _turn_sql(turn: int) -> str:
+    """One round of the permutation: the halves change places, a mix of one is added to the other."""
+    added = f"(l + {mix_sql(str(turn), 'shard', 'r')}) % half"
+    return f"turn{turn + 1} AS (SELECT shard, i, half, n, r AS l, {added} AS r FROM turn{turn})"
+
+
 @query(
     f"""WITH {views.CELLS},
-shards AS (SELECT unnest(range(20)) AS shard)
-SELECT CAST(shard AS INTEGER) AS shard, x, y FROM cells, shards
-QUALIFY row_number() OVER (PARTITION BY shard ORDER BY {mix_sql("shard", "x", "y")}, x, y) <= 50"""
+ranked AS (SELECT x, y, row_number() OVER (ORDER BY y, x) - 1 AS place FROM cells),
+sizes AS (SELECT count(*) AS n, CAST(power(2, (length(bin(count(*) - 1)) + 1) // 2) AS BIGINT) AS half FROM cells),
+tries AS (SELECT unnest(range(half * half)) AS i, half, n FROM sizes),
+turn0 AS (SELECT CAST(shard AS BIGINT) AS shard, i, half, n, i // half AS l, i % half AS r
+  FROM tries, (SELECT unnest(range(200)) AS shard) WHERE i < 50 * half * half // n * 3 + 1000),
+{", ".join(_turn_sql(t) for t in range(4))},
+drawn AS (SELECT shard, l * half + r AS place FROM turn4 WHERE l * half + r < n
+  QUALIFY row_number() OVER (PARTITION BY shard ORDER BY i) <= 50)
+SELECT CAST(shard AS INTEGER) AS shard, x, y FROM drawn JOIN ranked USING (place)"""
 )
 def shard_samples(spark, sf_dir):
-    """Fixed-size samples, one per shard, seeded by the shard."""
-    return patches.sample_shards(views.cells(spark, sf_dir), 20, 50).select("shard", "x", "y")
+    """200 samples of fixed size, one per shard, each by a permutation of the cells."""
+    return patches.sample_shards(views.cells(spark, sf_dir), 200, 50).select("shard", "x", "y")
 
 
 _RATED = """rated AS (
