@@ -50,12 +50,20 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 def _task_functions(k: int, p: float, pivots: np.ndarray):
     """What runs in the tasks. All of it is local, so it travels by value."""
 
+    def raised(gap: np.ndarray) -> np.ndarray:
+        """gap ** p; whole and half powers by products and a root, which are several times faster."""
+        if p < 1 or p % 0.5:
+            return gap**p
+        power = gap
+        for _ in range(int(p) - 1):
+            power = power * gap
+        return power * np.sqrt(gap) if p % 1 else power
+
     def powers(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Sums of |gap| ** p of all pairs; what is not a number is infinitely far."""
         total = np.zeros((len(left), len(right)))
         for a, b in zip(left.T, right.T):
-            gap = np.abs(a[:, None] - b[None, :])
-            total += gap * gap if p == 2 else gap**p
+            total += raised(np.abs(a[:, None] - b[None, :]))
         return np.where(np.isnan(total), np.inf, total)
 
     def matrix(rows: pd.DataFrame) -> np.ndarray:
