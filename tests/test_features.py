@@ -223,3 +223,43 @@ def test_stage_columns_that_are_no_features(spark):
         "site_id int, lat double, lon double, name string, n_rock int, height double, mp_score double, is_accessible boolean",
     )
     assert model.feature_columns(frame) == ["height"]
+
+
+@pytest.mark.parametrize("leaf_pairs", [1, 40, 1 << 14])
+def test_recent_scenes_of_crowded_tiles(spark, leaf_pairs):
+    """Tiles that no scene covers, equal times, copies of an id with other boxes: cut as far as needed."""
+    rng = np.random.default_rng(1)
+    boxes = [(i, int(x), int(x + w), int(y), int(y + h)) for i, (x, y, w, h) in
+             enumerate(rng.integers([0, 0, 0, 0], [90, 90, 40, 40], (300, 4)))]
+    feet = [(i, int(x), int(x + w), int(y), int(y + h)) for i, (x, y, w, h) in
+            enumerate(rng.integers([0, 0, 0, 0], [90, 90, 45, 12], (80, 4)))]
+    scene_df = spark.createDataFrame(
+        [(i, i % 29, *b) for i, *b in boxes], "scene_id long, time_start int, xmin int, xmax int, ymin int, ymax int"
+    )
+    feet_df = spark.createDataFrame(feet, "cliff_id int, xmin int, xmax int, ymin int, ymax int")
+    got = {}
+    for r in scenes.recent_scenes(feet_df, scene_df, 3, 32, leaf_pairs).collect():
+        got.setdefault(r["cliff_id"], []).append((r["recency"], r["scene_id"]))
+    for i, x0, x1, y0, y1 in feet:
+        meets = [(-(j % 29), j) for j, a, b, c, d in boxes if a <= x1 and b >= x0 and c <= y1 and d >= y0]
+        assert [s for _, s in sorted(got.get(i, []))] == [j for _, j in sorted(meets)[:3]]
+
+
+def test_few_pairs_of_scenes_and_footprints_meet(spark):
+    """All scenes in one corner of a tile, the footprints in another: no join of all with all."""
+    far = spark.range(3000).selectExpr("id AS scene_id", "id AS time_start", "0 AS xmin", "9 AS xmax", "id % 9 AS ymin", "9 AS ymax")
+    feet = spark.range(2000).selectExpr("id AS cliff_id", "40 AS xmin", "47 AS xmax", "id % 40 AS ymin", "45 AS ymax")
+    plan_rows = []
+    real = scenes._of_few
+
+    def counted(useful, partial, nodes, k):
+        small = nodes.filter("_small").select("_tx", "_ty")
+        plan_rows.append(useful.join(small, ["_tx", "_ty"]).join(scenes._renamed(partial), ["_tx", "_ty"]).count())
+        return real(useful, partial, nodes, k)
+
+    scenes._of_few = counted
+    try:
+        assert scenes.recent_scenes(feet, far).count() == 0
+    finally:
+        scenes._of_few = real
+    assert sum(plan_rows) < 0.01 * 3000 * 2000
