@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from escarp.functions.geo import (
     CellGrid,
@@ -24,11 +25,18 @@ from escarp.functions.geo import (
     max_chord_squared,
     unit_vector,
 )
+from escarp.functions.stats import with_ordinal
 from escarp.session import materialize, scratch_dir
 
 #: Pairs of points that a pair of cells may stand for when its points are joined. Opening cells drops
 #: most of them in a nearest search, but only those far from the circle in a sum.
-LEAF_PAIRS, NEAREST_LEAF_PAIRS = 1 << 14, 1 << 10
+LEAF_PAIRS, NEAREST_LEAF_PAIRS, ZONE_LEAF_PAIRS = 1 << 14, 1 << 10, 1 << 11
+
+#: Pairs of points that one task compares: its input is so small that Spark would merge many such tasks.
+TASK_PAIRS = 1 << 24
+
+#: Pairs of cells that one task opens, into up to 16 pairs each.
+TASK_OPENED = 1 << 16
 
 # name -> ("sum" | "max" | "min", column expression); a count is the sum of 1
 Aggregates = Mapping[str, tuple[str, Column]]
@@ -132,6 +140,8 @@ class _Walk:
         self.carried = [*right.by, *right.aggs]
         self.whole: list[tuple[int, DataFrame]] = []
         self.small: list[tuple[int, int, DataFrame]] = []
+        self.whole_tasks: list[int] = []
+        self.small_tasks: list[int] = []
         pairs, rounds = self._first(), 0
         while pairs is not None:
             pairs, rounds = self._round(pairs, rounds), rounds + 1
@@ -159,36 +169,45 @@ class _Walk:
         pairs = pairs.withColumns(
             {"_low": F.greatest(near - F.col("_reach"), F.lit(0.0)), "_high": far + F.col("_reach")}
         ).filter(F.col("_low") <= self.widest + 1e-6)
-        whole = F.lit(not self.nearest)
-        if self.nearest:
-            # a hair of slack: bounds and true distances are rounded separately
-            own = F.min("_high").over(W.partitionBy(*_LEFT, *self.right.by))
-            pairs = pairs.withColumn("_best", F.least("_best", own * (1 + 1e-9) + 1e-6))
-            pairs = pairs.filter(F.col("_low") <= F.col("_best"))
-        else:
-            for radius in self.radii_m:
-                whole &= (F.col("_high") <= radius - 1e-6) | (F.col("_low") > radius + 1e-6)
+        pairs, whole, rows = self._judged(pairs)
         done = (F.col("_ll") == self.finest) & (F.col("_rl") == self.finest)
-        few = done | (F.col("_ln") * F.col("_rn") <= self.leaf_pairs)
-        open_left = (F.col("_rl") == self.finest) | (
-            (F.col("_ll") < self.finest) & (F.col("_ln") >= F.col("_rn"))
-        )
+        few = done | (F.col("_ln") * rows <= self.leaf_pairs)
+        open_left = (F.col("_rl") == self.finest) | ((F.col("_ll") < self.finest) & (F.col("_ln") >= rows))
         state = F.when(whole, "whole").when(few, "small").when(open_left, "left").otherwise("right")
         pairs = materialize(pairs.withColumn("_state", state), f"{self.scratch}/round{number}")
-        kinds = pairs.select("_state", "_ll", "_rl").distinct().collect()  # a few levels
+        by_state = F.when(F.col("_state") == "small", F.col("_ln") * F.col("_rn"))
+        work = F.sum(by_state.when(F.col("_state") == "whole", F.col("_ln")).otherwise(1))
+        kinds = pairs.groupBy("_state", "_ll", "_rl").agg(work).collect()  # a few levels
         rest = None
-        for kind, ll, rl in sorted(map(tuple, kinds)):
+        for kind, ll, rl, pairs_of in sorted(map(tuple, kinds)):
             of_kind = (F.col("_state") == kind) & (F.col("_ll") == ll) & (F.col("_rl") == rl)
-            some = pairs.filter(of_kind).drop("_state", "_low")
+            some = pairs.filter(of_kind).drop("_state", "_low", "_rows")
+            tasks = -(-pairs_of // TASK_PAIRS)
             if kind == "whole":
-                self.whole.append((ll, some.select("_ly", "_lx", "_high", *self.right.aggs)))
+                self.whole.append((ll, some.select("_ly", "_lx", "_high", *self.right.by, *self.right.aggs)))
+                self.whole_tasks.append(tasks)
             elif kind == "small":
                 self.small.append((ll, rl, some.select("_ly", "_lx", "_ry", "_rx", *self.right.by)))
+                self.small_tasks.append(tasks)
             else:
-                opened = self._opened(some.drop("_high"), kind, ll, rl)
+                spread = some.drop("_high").repartition(-(-pairs_of // TASK_OPENED), "_ly", "_lx", "_ry", "_rx")
+                opened = self._opened(spread, kind, ll, rl)
                 rest = opened if rest is None else rest.unionByName(opened)
         return rest
 
+    def _judged(self, pairs: DataFrame) -> tuple[DataFrame, Column, Column]:
+        """Pairs that can count, whether a pair counts as a whole, and the right points it stands for."""
+        whole = F.lit(not self.nearest)
+        if self.nearest:
+            # a hair of slack: bounds and true distances are rounded separately
+            own = F.min("_high").over(W.partitionBy(*_LEFT, *self.right.by))
+            pairs = pairs.withColumn("_best", F.least("_best", own * (1 + 1e-9) + 1e-6))
+            pairs = pairs.filter(F.col("_low") <= F.col("_best"))
+        else:
+            for radius in self.radii_m:
+                whole &= (F.col("_high") <= radius - 1e-6) | (F.col("_low") > radius + 1e-6)
+        return pairs, whole, F.col("_rn")
+
     def _opened(self, pairs: DataFrame, side: str, ll: int, rl: int) -> DataFrame:
         if side == "left":
             children = _left_cells(self.left.cells(ll + 1), ll + 1)
@@ -205,8 +224,21 @@ class _Walk:
         return opened.drop("_py", "_px")
 
 
-def _meet(pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_m: float) -> DataFrame:
-    """Pairs of points of the pairs of cells, within the radius.
+class _ZoneWalk(_Walk):
+    """Left cells that lie within the radius of a zone as a whole, and those that may be cut by it.
+
+    All pairs of a left cell and a zone are settled or opened at once, so a left point is counted once
+    for a zone, however many cells of the zone are near it.
+    """
+
+    def _judged(self, pairs: DataFrame) -> tuple[DataFrame, Column, Column]:
+        group = W.partitionBy(*_LEFT, *self.right.by)
+        pairs = pairs.withColumns({"_high": F.min("_high").over(group), "_rows": F.sum("_rn").over(group)})
+        return pairs, F.col("_high") <= self.widest - 1e-6, F.col("_rows")
+
+
+def _meet(pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_m: float, tasks: int) -> DataFrame:
+    """Pairs of points of the pairs of cells, within the radius, compared in so many tasks.
 
     Most pairs fail the chord test, a few multiplications on vectors made once per point.
     """
@@ -224,9 +256,11 @@ def _meet(pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_
     gaps = [F.col(f"_l{i}") - F.col(f"_r{i}") for i in range(3)]
     chord = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
     distance = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon"))
+    meeting = ["_ry", "_rx", *right.by]
     return (
         pairs.join(here, ["_ly", "_lx"])
-        .join(there, ["_ry", "_rx", *right.by])
+        .repartition(tasks, *meeting)
+        .join(there.repartition(tasks, *meeting), meeting)
         .filter(chord <= max_chord_squared(radius_m))
         .withColumn("distance_m", distance)
         .filter(F.col("distance_m") <= radius_m)
@@ -253,15 +287,19 @@ def _matches(
     one = _Side(_keyed(left, grid), grid, {}, (), f"{scratch}/left")
     two = _Side(_keyed(right, grid), grid, aggs, by, f"{scratch}/right")
     walk = _Walk(one, two, radii_m, nearest, leaf_pairs, scratch)
-    parts = [_meet(pairs, one, two, ll, rl, walk.widest) for ll, rl, pairs in walk.small]
-    for ll, pairs in walk.whole:
+    parts = [
+        _meet(pairs, one, two, ll, rl, walk.widest, tasks)
+        for (ll, rl, pairs), tasks in zip(walk.small, walk.small_tasks, strict=True)
+    ]
+    for (ll, pairs), tasks in zip(walk.whole, walk.whole_tasks, strict=True):
         here = one.at(ll).select(
             F.col("lat").alias("l_lat"),
             F.col("lon").alias("l_lon"),
             F.col("_cy").alias("_ly"),
             F.col("_cx").alias("_lx"),
         )
-        inside = pairs.withColumnRenamed("_high", "distance_m").join(here, ["_ly", "_lx"])
+        spread = pairs.withColumnRenamed("_high", "distance_m").repartition(tasks, "_ly", "_lx")
+        inside = spread.join(here.repartition(tasks, "_ly", "_lx"), ["_ly", "_lx"])
         parts.append(inside.select("l_lat", "l_lon", "distance_m", *aggs))
     if not parts:  # no two cells are within reach
         none = one.points.limit(0).select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
@@ -317,9 +355,11 @@ def aggregate_within(
     `radii` maps a name suffix to metres; column `<agg><suffix>` holds one aggregate for one
     radius, NULL where nothing is near.
     """
-    matches = _matches(
-        _anchors(left), _points(right, aggs), list(radii.values()), aggs, False, leaf_pairs
-    )
+    points, values = _points(right, aggs), {}
+    for name, (fn, _) in aggs.items():
+        if fn != "sum" and not isinstance(points.schema[name].dataType, T.NumericType):
+            points, values[name] = _numbered(points, name)
+    matches = _matches(_anchors(left), points, list(radii.values()), aggs, False, leaf_pairs)
     columns = [
         _FOLD[fn](F.when(F.col("distance_m") <= radius, F.col(name))).alias(name + suffix)
         for suffix, radius in radii.items()
@@ -330,9 +370,89 @@ def aggregate_within(
         .agg(*columns)
         .withColumnsRenamed({"l_lat": "lat", "l_lon": "lon"})
     )
+    for name, known in values.items():
+        for suffix in radii:
+            of_number = known.withColumnsRenamed({"_number": "_found", name: "_value"})
+            around = around.withColumnRenamed(name + suffix, "_found").join(of_number, "_found", "left")
+            around = around.withColumnRenamed("_value", name + suffix).drop("_found")
     return left.join(around, ["lat", "lon"], "left")
 
 
+def _numbered(points: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Points with a value's place among all values, and the values by place.
+
+    The largest or smallest of numbers is kept in place; that of texts or structs would sort all pairs.
+    """
+    placed = with_ordinal(points, [], name, ["lat", "lon"], "_number")
+    placed = materialize(placed, f"{scratch_dir(points.sparkSession)}/numbered")
+    known = placed.filter(F.col(name).isNotNull())
+    numbers = placed.withColumn(name, F.when(F.col(name).isNotNull(), F.col("_number"))).drop("_number")
+    return numbers, known.select("_number", name)
+
+
+def aggregate_in_zones(
+    cells: DataFrame,
+    zone_id: str,
+    points: DataFrame,
+    radius_m: float,
+    aggs: Aggregates,
+    leaf_pairs: int = ZONE_LEAF_PAIRS,
+) -> DataFrame:
+    """(zone_id, aggregates) of the points within the radius of any cell of a zone, each counted once.
+
+    `cells` has `zone_id`, `lat` and `lon`. Cells of points that lie near a zone as a whole count by their
+    partial aggregates, so no row is made for each pair of a point and a zone. Zones without a point near
+    have no row; cells without a zone and rows without a coordinate are not used.
+    """
+    known = cells.filter(F.col(zone_id).isNotNull())
+    grid, scratch = CellGrid(float(radius_m)), scratch_dir(points.sparkSession)
+    one = _Side(_keyed(_points(points, aggs), grid), grid, aggs, (), f"{scratch}/left")
+    two = _Side(_keyed(_points(known, {}, [zone_id]), grid), grid, {}, [zone_id], f"{scratch}/right")
+    walk = _ZoneWalk(one, two, [radius_m], False, leaf_pairs, scratch)
+    parts = [one.points.limit(0).crossJoin(two.points.select(zone_id).limit(0)).select(zone_id, *aggs)]
+    for ll, pairs in walk.whole:
+        here = one.cells(ll).select(F.col("_cy").alias("_ly"), F.col("_cx").alias("_lx"), *aggs)
+        inside = pairs.select("_ly", "_lx", zone_id).distinct().join(here, ["_ly", "_lx"])
+        parts.append(inside.select(zone_id, *aggs))
+    for (ll, rl, pairs), tasks in zip(walk.small, walk.small_tasks, strict=True):
+        parts.append(_near_zones(pairs, one, two, ll, rl, radius_m, tasks).select(zone_id, *aggs))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.groupBy(zone_id).agg(*[_FOLD[fn](name).alias(name) for name, (fn, _) in aggs.items()])
+
+
+def _near_zones(
+    pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_m: float, tasks: int
+) -> DataFrame:
+    """Left points of the pairs' cells that are near a point of the zone's cells they are paired with."""
+    there = right.at(rl).withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"})
+    vector = [c.alias(f"v{i}") for i, c in enumerate(unit_vector(F.col("lat"), F.col("lon")))]
+    group = ["_ly", "_lx", *right.by]
+    # at most the leaf's number of points in a list
+    lists = (
+        there.join(pairs.select("_ry", "_rx", *right.by).distinct(), ["_ry", "_rx", *right.by], "left_semi")
+        .groupBy("_ry", "_rx", *right.by)
+        .agg(F.collect_list(F.struct("lat", "lon", *vector)).alias("_zone"))
+    )
+    zones = pairs.join(lists, ["_ry", "_rx", *right.by]).groupBy(*group)
+    zones = zones.agg(F.flatten(F.collect_list("_zone")).alias("_zone"))
+    here = left.at(ll).withColumnsRenamed({"_cy": "_ly", "_cx": "_lx"}).withColumns(
+        {f"_l{i}": c for i, c in enumerate(unit_vector(F.col("lat"), F.col("lon")))}
+    )
+    # the cosine of the angle falls by half the squared chord; far from the circle it decides alone
+    fall = max_chord_squared(radius_m) / 2
+    surely, possibly = 1 - fall * (1 - 1e-6) + 2e-15, 1 - fall - 2e-15
+
+    def within(point: Column) -> Column:
+        cosine = sum((F.col(f"_l{i}") * point[f"v{i}"] for i in (1, 2)), F.col("_l0") * point["v0"])
+        exact = haversine_m(F.col("lat"), F.col("lon"), point["lat"], point["lon"]) <= radius_m
+        return (cosine >= surely) | ((cosine >= possibly) & exact)
+
+    spread = zones.repartition(tasks, "_ly", "_lx")
+    return spread.join(here.repartition(tasks, "_ly", "_lx"), ["_ly", "_lx"]).filter(F.exists("_zone", within))
+
+
 def zones_within(
     left: DataFrame,
     cells: DataFrame,
