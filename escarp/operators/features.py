@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escarp import config
-from escarp.operators.proximity import aggregate_within, nearest_within, zones_within
+from escarp.operators.proximity import aggregate_in_zones, aggregate_within, nearest_within
 
 # fixed values: older column names and the ones used here
 ALIASES = {
@@ -112,15 +112,12 @@ def attach_vicinity(
     """
     names = ["vicinity_n_rock", "vicinity_n_views", "vicinity_n_areas"]
     values = [F.col("n_rock"), F.col("n_views"), F.lit(1)]
+    aggs = {n: ("sum", v) for n, v in zip(names, values, strict=True)}
     if footprint is None:
-        aggs = {n: ("sum", v) for n, v in zip(names, values, strict=True)}
         around = aggregate_within(cliffs, areas, {"": radius_m}, aggs)
     else:
-        near = zones_within(
-            areas.select("lat", "lon", "n_rock", "n_views"), footprint, "cliff_id", radius_m
-        )
-        sums = [F.sum(v).alias(n) for n, v in zip(names, values, strict=True)]
-        around = cliffs.join(near.groupBy("cliff_id").agg(*sums), "cliff_id", "left")
+        near = aggregate_in_zones(footprint, "cliff_id", areas, radius_m, aggs)
+        around = cliffs.join(near, "cliff_id", "left")
     return around.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
 
 

@@ -6,7 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from escarp.operators.proximity import aggregate_within, densify_segments, nearest_within, zones_within
+from escarp.operators.proximity import (
+    aggregate_in_zones,
+    aggregate_within,
+    densify_segments,
+    nearest_within,
+    zones_within,
+)
 
 R = 6371008.8
 
@@ -168,3 +174,61 @@ def test_a_wall_longer_than_the_radius_counts_each_area_once(spark):
     got = attach_vicinity(attach_areas(cliffs, areas, 300, wall), areas, 300, wall)
     got = {r["cliff_id"]: (r["n_rock"], r["n_views"], r["name"], r["vicinity_n_areas"], r["vicinity_n_rock"]) for r in got.collect()}
     assert got == {1: (5, 20, "start - start - end - ", 3, 5), 2: (0, 0, "", 0, 0), 3: (0, 0, "", 0, 0)}
+
+
+@pytest.mark.parametrize("leaf_pairs", [6, 1 << 16])
+def test_sums_in_zones(spark, leaf_pairs):
+    """Each point counts once for a zone, also where several of its cells are near."""
+    left, right = everything()
+    cells = frame(spark, right, "b").withColumn("zone", F.when(F.col("b") != 3, F.col("b") % 7))
+    aggs = {"w": ("sum", F.col("w")), "n": ("sum", F.lit(1)), "top": ("max", F.col("a"))}
+    got = aggregate_in_zones(cells, "zone", frame(spark, left, "a"), 800, aggs, leaf_pairs).collect()
+    want = {}
+    for i, p in enumerate(left):
+        for zone in {j % 7 for j, q in enumerate(right) if j != 3 and metres(p, q) <= 800}:
+            want.setdefault(zone, []).append(i)
+    assert {r["zone"]: (r["n"], r["w"], r["top"]) for r in got} == {
+        z: (len(near), sum(i % 5 for i in near), max(near)) for z, near in want.items()
+    }
+
+
+def test_no_row_for_each_point_near_a_zone(spark):
+    """Nearly all points lie deep within the radius of all zones: few are compared one by one."""
+    from escarp.operators import proximity
+
+    sites = spark.range(200).selectExpr("id AS zone", "40 + id * 1e-5 AS lat", "-110.0D AS lon")
+    areas = spark.range(10_000).selectExpr("40 + (id % 100) * 6e-5 AS lat", "-110 + id div 100 * 6e-5 AS lon")
+    compared = []
+    real = proximity._near_zones
+
+    def counted(*args):
+        found = real(*args)
+        compared.append(found.count())
+        return found
+
+    proximity._near_zones = counted
+    try:
+        got = aggregate_in_zones(sites, "zone", areas, 3000.0, {"n": ("sum", F.lit(1))})
+        assert {r["n"] for r in got.collect()} == {10_000} and got.count() == 200
+    finally:
+        proximity._near_zones = real
+    assert sum(compared) < 0.1 * 200 * 10_000
+
+
+def test_the_largest_of_structs_sorts_no_pairs(spark):
+    """The largest text or struct around each point: pairs are folded by a hash table, not sorted."""
+    left, right = scene("crowded")
+    probes, areas = frame(spark, left, "a"), frame(spark, right, "b")
+    top = F.struct("w", (-F.col("b")).alias("o"), F.concat(F.lit("n"), F.col("b")).alias("name"))
+    name = F.when(F.col("w") > 1, F.concat(F.lit("n"), F.col("b")))
+    around = aggregate_within(probes, areas, {"_1": 300.0, "_2": 800.0}, {"top": ("max", top), "first": ("min", name)})
+    rows = around.collect()
+    plan = around._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert len(rows) == len(left)
+    for row in rows:
+        for suffix, r in (("_1", 300), ("_2", 800)):
+            near = [i for i, q in enumerate(right) if metres(left[row["a"]], q) <= r]
+            best = max(((i % 5, -i, f"n{i}") for i in near), default=None)
+            assert (tuple(row["top" + suffix]) if row["top" + suffix] else None) == best
+            assert row["first" + suffix] == min((f"n{i}" for i in near if i % 5 > 1), default=None)
