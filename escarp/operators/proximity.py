@@ -240,14 +240,13 @@ class _ZoneWalk(_Walk):
 def _meet(pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_m: float, tasks: int) -> DataFrame:
     """Pairs of points of the pairs of cells, within the radius, compared in so many tasks.
 
-    Most pairs fail the chord test, a few multiplications on vectors made once per point.
+    Most pairs fail the chord test, a few multiplications on vectors made once per point and cell.
     """
     here = left.at(ll).select(
         F.col("lat").alias("l_lat"),
         F.col("lon").alias("l_lon"),
         F.col("_cy").alias("_ly"),
         F.col("_cx").alias("_lx"),
-        *[c.alias(f"_l{i}") for i, c in enumerate(unit_vector(F.col("lat"), F.col("lon")))],
     )
     there = right.at(rl).withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"}).drop("_fy", "_fx")
     there = there.withColumns(
@@ -257,9 +256,11 @@ def _meet(pairs: DataFrame, left: _Side, right: _Side, ll: int, rl: int, radius_
     chord = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
     distance = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon"))
     meeting = ["_ry", "_rx", *right.by]
+    # only the place of a left point is sent to its cells, its vector is made there
+    sent = pairs.join(here, ["_ly", "_lx"]).select(*meeting, "l_lat", "l_lon").repartition(tasks, *meeting)
+    vector = {f"_l{i}": c for i, c in enumerate(unit_vector(F.col("l_lat"), F.col("l_lon")))}
     return (
-        pairs.join(here, ["_ly", "_lx"])
-        .repartition(tasks, *meeting)
+        sent.withColumns(vector)
         .join(there.repartition(tasks, *meeting), meeting)
         .filter(chord <= max_chord_squared(radius_m))
         .withColumn("distance_m", distance)
