@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from escarp.llm.texts import chunk_ids, chunks_of, gathered, slices
 
-#: Chunk spellings whose ids a Python worker keeps; emptied when full, so its memory is bounded.
+#: Chunk spellings, and pre-tokens, whose ids a Python worker keeps; emptied when full, so its memory is bounded.
 CACHE_ENTRIES = 300_000
 
 
@@ -117,10 +117,11 @@ class ByteBpe:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
         self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes | None] = {}
         self.split: Callable[[str], list[str]] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"chunks": {}, "split": None}
+        return self.__dict__ | {"chunks": {}, "pieces": {}, "split": None}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token by merging its lowest-ranked neighbours, leftmost first.
@@ -173,8 +174,10 @@ class ByteBpe:
         known, split = self.chunks, self.split
         new = [c for c in spellings if c not in known]
         pieces = [[p.encode() for p in split(c.decode())] for c in new]
-        distinct = list({piece: None for row in pieces for piece in row})
-        ids = {}
+        if len(self.pieces) >= CACHE_ENTRIES:
+            self.pieces.clear()
+        ids = self.pieces
+        distinct = list({piece: None for row in pieces for piece in row if piece not in ids})
         for piece, rank in zip(distinct, self.whole(distinct) if distinct else [], strict=True):
             ids[piece] = pack("<I", rank) if rank >= 0 else None
         for chunk, row in zip(new, pieces, strict=True):

@@ -125,3 +125,20 @@ def test_added_tokens_are_cut_out_of_whole_texts(spark):
     for row in bitplane.round_trip(frame, path).collect():
         ids = [*tokenizer.encode(texts[row.doc_id], add_special_tokens=False).ids, 0]
         assert row.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_a_pre_token_is_merged_once_for_all_chunks():
+    """Chunks that differ share the ids of their pre-tokens, also in later slices of the text."""
+    import public_tokenizers
+
+    from escarp.llm import byte_bpe
+
+    bpe = byte_bpe.ByteBpe(
+        byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+    )
+    merged, merge = [], bpe.merge
+    bpe.merge = lambda piece: (merged.append(piece), merge(piece))[1]
+    first, = bpe.encode_chunks([b" qzxwvkjq,"])
+    second, = bpe.encode_chunks([b" qzxwvkjq;"])
+    assert merged.count(b" qzxwvkjq") == 1
+    assert first[:-4] == second[:-4] and first != second
