@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from escarp.operators import features, model
 from escarp.plans.registry import mix_sql, query
-from escarp.session import scratch_dir
+from escarp.session import materialize, scratch_dir
 from escarp.sources import tables, views
 
 # cliffs made from parts: every column the cleaning rules look at, with NULL, NaN and bad values
@@ -285,6 +285,8 @@ def ranked_unseen_sales(spark, sf_dir):
         }
     )
     inputs = ["l_quantity", "o_totalprice", "p_size", "p_retailprice"]
+    used = ["item", "height", "mp_score", "is_train", "l_extendedprice", *inputs]
+    rows = materialize(rows.select(*dict.fromkeys(used)), scratch_dir(spark))  # joined once for all passes
     train = rows.filter("is_train")
     forest = model.fit("forest", train, inputs, "l_extendedprice", numTrees=10, maxDepth=5)
     boosted = model.fit("gbt", train, inputs, "l_extendedprice", maxIter=5, maxDepth=4)
@@ -397,7 +399,8 @@ def scored_by_saved_settings(spark, sf_dir):
 
 @query()
 def tuned_and_default_scores(spark, sf_dir):
-    rows = _sales(spark, sf_dir)
+    used = dict.fromkeys([*_INPUTS, "l_extendedprice", "is_train"])
+    rows = materialize(_sales(spark, sf_dir).select(*used), scratch_dir(spark))  # joined once for all passes
     tuned = {"maxDepth": 7, "minInstancesPerNode": 4}
     return model.compare_settings("tree", rows, _INPUTS, "l_extendedprice", tuned)
 
