@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from escarp.operators.neighbors import blocks_to_compare, choose_pivots, knn_predict
+from escarp.session import materialize, scratch_dir
 
 NAMES = ["a", "b", "c"]
 
@@ -69,3 +70,34 @@ def test_clustered_rows_meet_few_blocks(spark):
 
 def test_pivots_of_equal_points():
     assert len(choose_pivots(np.ones((50, 2)), 8)) == 1
+
+
+@pytest.mark.parametrize("p", [0.5, 1.5, 3])
+def test_groups_of_blocks_meet_without_clusters(spark, p):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(400, 3))
+    data[:40] = data[40]  # copies: equal distances, told apart by their targets
+    data[50:60] *= 1e6
+    data[60:80] = data[60] + rng.normal(size=(20, 3)) * 1e-9
+    data[81, 0], data[82, 1] = np.nan, np.inf
+    data = data[rng.permutation(400)]
+    y = rng.integers(0, 50, 400)
+    df = frame(spark, data, y)
+    got = knn_predict(df.filter(F.col("id") < 350), df, NAMES, "y", "id", 5, p, block=32, group=128)
+    with np.errstate(invalid="ignore"):
+        assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(data, y, range(350), 5, p))
+
+
+def test_rows_are_sent_once_for_each_group(spark):
+    """Without clusters all blocks meet; a row goes to every group of blocks, not to every block."""
+    rng = np.random.default_rng(4)
+    df = frame(spark, rng.normal(size=(1200, 3)), rng.integers(0, 9, 1200))
+    names = [f"{c} * 0 + rand({i})" for i, c in enumerate(NAMES * 8)]
+    wide = materialize(df.select("id", "y", *[F.expr(e).alias(f"f{i}") for i, e in enumerate(names)]), scratch_dir(spark))
+    columns = [c for c in wide.columns if c.startswith("f")]
+    placed, asked, pairs, _ = blocks_to_compare(wide, wide, columns, "y", "id", 8, 1.5, 50, group=800)
+    assert pairs.count() > 40 * 39 / 2
+    sent = pairs.select("_at", "_group", "_other_group").distinct().join(asked, ["_at", "_group"]).count()
+    assert sent <= 1200 * 3
+    assert placed.groupBy("_group").count().agg(F.max("count")).first()[0] <= 850
+    assert asked.count() == 1200
