@@ -87,6 +87,7 @@ def sample_per_group(
     identity: Sequence[str],
     seed: Column | int = 0,
     n_bins: int = N_BINS,
+    spread: bool = False,
 ) -> DataFrame:
     """Exactly min(size, rows) random rows of each group.
 
@@ -94,11 +95,17 @@ def sample_per_group(
     order of `mix(seed, identity)`, so the same rows come back on every run. Bin counts tell
     which bins of a group are needed; rows meet them by group and bin, so a hot group is spread
     over its bins, and rows of other bins are dropped. NULL groups are groups like any other.
+
+    Each task counts its own rows first, which leaves few counts where groups are large. Where they are
+    small it would hold a count for nearly each of its rows, however many an earlier step has made in it:
+    with `spread`, rows are dealt out by group and bin before they are counted, once for all steps.
     """
     limit = F.col(size) if isinstance(size, str) else F.lit(size)
     keyed = df.withColumn("_draw", mix(seed, *[F.col(c) for c in identity])).withColumns(
         {"_bin": F.floor(F.col("_draw") * n_bins / PRIME), "_group": _group(groups)}
     )
+    if spread:
+        keyed = keyed.repartition("_group", "_bin")
     needed = (
         keyed.groupBy("_group", "_bin")
         .agg(F.count(F.lit(1)).alias("_n"), F.max(limit).alias("_limit"))

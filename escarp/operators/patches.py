@@ -30,10 +30,10 @@ def clip(cells: DataFrame, footprint: DataFrame) -> DataFrame:
 
 
 def sample_pixels(
-    cells: DataFrame, groups: Sequence[str], size: str | int, seed: Column | int = 0
+    cells: DataFrame, groups: Sequence[str], size: str | int, seed: Column | int = 0, spread: bool = False
 ) -> DataFrame:
-    """Exactly min(size, cells) random cells of each group."""
-    return sample_per_group(cells, groups, size, ["x", "y"], seed)
+    """Exactly min(size, cells) random cells of each group; `spread` is for many small groups."""
+    return sample_per_group(cells, groups, size, ["x", "y"], seed, spread=spread)
 
 
 def sample_cliff_pixels(
@@ -46,7 +46,7 @@ def sample_cliff_pixels(
         sample_size_by_cliff(F.col("pixel_count"), F.col("height")).alias("n_samples"),
     )
     pixels = footprint.join(sized, "cliff_id")
-    return sample_pixels(pixels, ["cliff_id"], "n_samples", seed).drop("n_samples")
+    return sample_pixels(pixels, ["cliff_id"], "n_samples", seed, spread=True).drop("n_samples")
 
 
 def sample_scene_patches(
@@ -71,7 +71,7 @@ def sample_scene_patches(
     asked = cliff_scenes.select("cliff_id", "scene_id").join(sized, "cliff_id")
     pixels = footprint.select("cliff_id", "x", "y").join(asked, "cliff_id")
     centers = sample_per_group(
-        pixels, ["cliff_id", "scene_id"], "_n", ["scene_id", "x", "y"], seed
+        pixels, ["cliff_id", "scene_id"], "_n", ["scene_id", "x", "y"], seed, spread=True
     ).drop("_n")
     return neighborhoods(centers, scene_cells, bands, size, ["scene_id"])
 

@@ -1,12 +1,14 @@
 """Ranks, samples and percentiles against plain Python, with hot groups and few bins."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from escarp.functions import stats
+from escarp.operators import patches
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +102,26 @@ def test_sample_keeps_null_groups(spark):
     got = stats.sample_per_group(rows, ["g"], 20, ["id"], 1)
     assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {None: 20, "odd": 20}
     assert stats.sample_per_group(rows, [], 30, ["id"], 1).count() == 30
+
+
+def test_small_groups_are_dealt_out_before_they_are_counted(spark):
+    """A task that made many rows of small groups must not hold a count for nearly each of them."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(80)))
+    rows = spark.range(60).coalesce(1).select(F.col("id").alias("g"), cells.alias("x"), F.lit(7).alias("y"))
+    rows = rows.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    args = (["g"], 9, ["x", "y"], 2)
+    dealt, plain = stats.sample_per_group(rows, *args, spread=True), stats.sample_per_group(rows, *args)
+    assert {tuple(r) for r in dealt.collect()} == {tuple(r) for r in plain.collect()}
+    assert dealt.count() == 60 * 9
+    cliffs = spark.range(60).select(F.col("id").alias("cliff_id"), F.lit(900.0).alias("area_m2"))
+    seen = cliffs.select("cliff_id", F.lit(1).alias("scene_id"))
+    image = spark.range(90).select(F.lit(1).alias("scene_id"), F.col("id").alias("x"), F.lit(7).alias("y"), F.col("id").alias("B4"))
+    footprint = rows.withColumnRenamed("g", "cliff_id")
+    sampled = patches.sample_scene_patches(cliffs, footprint, seen, image, ["B4"], share=0.01, size=1)
+    rated = cliffs.select("cliff_id", F.lit(1).alias("mp_score"), F.lit(9.0).alias("pixel_count"), F.lit(0.05).alias("height"))
+    for df in (sampled, patches.sample_cliff_pixels(rated, footprint, ["mp_score"])):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        counted = max(i for i, line in enumerate(plan) if re.search(r"HashAggregate\(keys=\[_group#\d+, _bin#", line))
+        below = next(line for line in plan[counted:] if "Exchange" in line)
+        assert re.search(r"hashpartitioning\(_group#\d+, _bin#\d+L, \d+\), REPARTITION_BY_COL", below)
+    assert sampled.count() == 59 * 9  # no cliff without an id
